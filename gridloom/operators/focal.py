@@ -17,16 +17,21 @@ OFFSETS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 WEIGHTS = tuple(math.sqrt(2.0) if di and dj else 1.0 for di, dj in OFFSETS)
 NODATA_DIR, OUTLET_DIR = -1, -2
 
-BY_ROW = Window.partitionBy("row").orderBy("col")
-BY_COL = Window.partitionBy("col").orderBy("row")
+
+def by_row() -> Window:
+    return Window.partitionBy("row").orderBy("col")
+
+
+def by_col() -> Window:
+    return Window.partitionBy("col").orderBy("row")
 
 
 def neighbours(cells: DataFrame, band: str, prefix: str = "n") -> DataFrame:
     """cells with columns n0 to n7: the band of the eight neighbours, null beyond the grid."""
-    side = lambda step: F.lag(band, 1).over(BY_ROW) if step < 0 else F.lead(band, 1).over(BY_ROW)
+    side = lambda step: F.lag(band, 1).over(by_row()) if step < 0 else F.lead(band, 1).over(by_row())
     both = cells.withColumn("_w", side(-1)).withColumn("_e", side(1))
     at = {0: band, -1: "_w", 1: "_e"}
-    vertical = lambda c, step: F.lag(c, 1).over(BY_COL) if step < 0 else F.lead(c, 1).over(BY_COL)
+    vertical = lambda c, step: F.lag(c, 1).over(by_col()) if step < 0 else F.lead(c, 1).over(by_col())
     return both.withColumns({f"{prefix}{k}": vertical(at[dj], di) if di else F.col(at[dj]) for k, (di, dj) in enumerate(OFFSETS)}).drop("_w", "_e")
 
 
@@ -39,7 +44,7 @@ def slope(cells: DataFrame, z: str = "z", valid: str = "valid", cell: float = 30
         before, after = F.lag("_z", 1).over(window), F.lead("_z", 1).over(window)
         return F.when(before.isNull(), (after - F.col("_z")) / cell).when(after.isNull(), (F.col("_z") - before) / cell).otherwise((after - before) / (2 * cell))
 
-    out = filled.withColumn("_dx", gradient(BY_ROW)).withColumn("_dy", gradient(BY_COL))
+    out = filled.withColumn("_dx", gradient(by_row())).withColumn("_dy", gradient(by_col()))
     return out.withColumn("slope", F.when(F.col(valid), F.atan(F.hypot("_dx", "_dy")))).drop("_z", "_dx", "_dy", "m")
 
 
@@ -63,7 +68,7 @@ def boundary_seeds(cells: DataFrame, valid: str = "valid") -> DataFrame:
 def dilate(cells: DataFrame, mask: str, out: str = "halo") -> DataFrame:
     """cells with `out`: the mask and its four direct neighbours."""
     m = cells.withColumn("_m", F.coalesce(F.col(mask), F.lit(False)))
-    around = [F.lag("_m", 1).over(BY_ROW), F.lead("_m", 1).over(BY_ROW), F.lag("_m", 1).over(BY_COL), F.lead("_m", 1).over(BY_COL)]
+    around = [F.lag("_m", 1).over(by_row()), F.lead("_m", 1).over(by_row()), F.lag("_m", 1).over(by_col()), F.lead("_m", 1).over(by_col())]
     m = m.withColumns({f"_m{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(around)})
     return m.withColumn(out, F.col("_m") | F.col("_m0") | F.col("_m1") | F.col("_m2") | F.col("_m3")).drop("_m", "_m0", "_m1", "_m2", "_m3")
 
@@ -95,8 +100,8 @@ def euclidean_distance(cells: DataFrame, mask: str, cell: float = 30.0) -> DataF
     import numpy as np
     import pandas as pd
 
-    up = F.last(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(BY_COL.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(BY_COL.rowsBetween(0, Window.unboundedFollowing))
+    up = F.last(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(by_col().rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(F.when(F.col(mask), F.col("row")), ignorenulls=True).over(by_col().rowsBetween(0, Window.unboundedFollowing))
     gap = cells.withColumn("_g", F.least(F.col("row") - up, down - F.col("row")).cast("double"))
     slim = gap.select("row", "col", "_g")
 

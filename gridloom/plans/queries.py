@@ -101,15 +101,15 @@ def short_names(spark, d):
 BAN_SQL = {k: "regexp_matches(text, '(?i)" + v.replace("'", "''") + "')" for k, v in claims.PATTERNS.items()}
 
 
-@query("select doc_id, array_to_string(list_filter([" + ",".join(f"case when {v} then '{k}' end" for k, v in BAN_SQL.items()) + ", case when contains(lower(text), 'the') then 'banned_name' end, case when contains(text, chr(8212)) then 'em_dash' end], x -> x is not null), ',') as hits from documents")
+@query("select doc_id, array_to_string(list_filter([" + ",".join(f"case when {v} then '{k}' end" for k, v in BAN_SQL.items()) + ", case when contains(lower(text), 'the') then 'banned_name' end, case when contains(text, chr(8212)) then 'em_dash' end], lambda x: x is not null), ',') as hits from documents")
 def claims_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(claims.scan(F.col("text"), ("THE",)), ",").alias("hits"))
 
 
-TOKENS = {"article": r"\bthe\b", "joined": r"\b(and|und|et|y)\b", "licence": r"licen[cs]ed?\b"}
+TOKENS = {"article": r"(^| )the( |$)", "joined": r"(^| )(and|und|et)( |$)", "licence": r"licen[cs]ed?"}
 
 
-@query("select doc_id, array_to_string(list_filter([" + ",".join(f"case when regexp_matches(text, '(?i){v}') then '{k}' end" for k, v in TOKENS.items()) + ", case when contains(text, chr(8212)) then 'em_dash' end], x -> x is not null), ',') as hits from documents")
+@query("select doc_id, array_to_string(list_filter([" + ",".join(f"case when regexp_matches(text, '(?i){v}') then '{k}' end" for k, v in TOKENS.items()) + ", case when contains(text, chr(8212)) then 'em_dash' end], lambda x: x is not null), ',') as hits from documents")
 def claims_scan_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(claims.scan(F.col("text"), (), TOKENS), ",").alias("hits"))
 
@@ -211,8 +211,8 @@ STEPS_SQL = "steps as (select * from (values (0,-1,0,1.0::double),(1,-1,1,sqrt(2
 
 
 def d8_sql(z: str, source: str = "cells") -> str:
-    return f"""d8 as (select c.cell_id, c."row", c.col, c.valid, case when not c.valid then -1 when max(drop_) > 0 then arg_min(k, (-drop_, k)) else -2 end as flowdir
-      from {source} c left join (select a.cell_id, k, (a.{z} - b.{z}) / (w * 30) as drop_ from {source} a, steps join {source} b on b."row" = a."row" + di and b.col = a.col + dj where a.valid and b.valid) x using (cell_id) group by c.cell_id, c."row", c.col, c.valid)"""
+    return f"""d8 as materialized (select c.cell_id, c."row", c.col, c.valid, case when not c.valid then -1 when max(drop_) > 0 then arg_min(k, (-drop_, k)) else -2 end as flowdir
+      from {source} c left join (select s.cell_id, k, (s.z - b.{z}) / (w * 30) as drop_ from (select cell_id, k, w, {z} as z, "row" + di as nr, col + dj as nc from {source}, steps where valid) s join {source} b on b."row" = nr and b.col = nc where b.valid) x using (cell_id) group by c.cell_id, c."row", c.col, c.valid)"""
 
 
 @query(f"with recursive {CELLS}, {STEPS_SQL}, {d8_sql('zp')} select cell_id, flowdir from d8")
@@ -239,9 +239,9 @@ def scored_points(spark, d):
     return focal.window_stats(p, B.cells(spark, d).where("valid"), "p", ["key"])
 
 
-@query(f"with {WINDOW_SQL} select p.key, round(max(n.p), 8) as p_max, round(avg(n.p), 8) as p_mean, count(n.p) as n_cells from points p left join near n using (key) group by p.key")
+@query(f"with {WINDOW_SQL} select p.key, round(max(n.p), 6) as p_max, round(avg(n.p), 6) as p_mean, count(n.p) as n_cells from points p left join near n using (key) group by p.key")
 def window_stats_9x9(spark, d):
-    return scored_points(spark, d).select("key", F.round("p_max", 8).alias("p_max"), F.round("p_mean", 8).alias("p_mean"), "n_cells")
+    return scored_points(spark, d).select("key", F.round("p_max", 6).alias("p_max"), F.round("p_mean", 6).alias("p_mean"), "n_cells")
 
 
 @query(f"with {WINDOW_SQL} select key, r as max_row, c as max_col from (select *, row_number() over (partition by key order by p desc, r, c) as k from near) where k = 1")
@@ -277,7 +277,7 @@ def routed(cells: DataFrame, z: str) -> DataFrame:
     return stored(c.withColumn("down_id", flow.downstream(B.WIDTH)), "routed")
 
 
-ROUTE_SQL = "route as (select d.cell_id, n.cell_id as down_id from d8 d left join steps on k = flowdir left join cells n on n.\"row\" = d.\"row\" + di and n.col = d.col + dj where d.valid)"
+ROUTE_SQL = "route as materialized (select d.cell_id, n.cell_id as down_id from d8 d left join steps on k = flowdir left join cells n on n.\"row\" = d.\"row\" + di and n.col = d.col + dj where d.valid)"
 ACC_SQL = "walk(src, cur) as (select cell_id, down_id from route where down_id is not null union all select src, down_id from walk join route on cur = cell_id where down_id is not null), acc as (select r.cell_id, count(w.src) as acc from route r left join walk w on w.cur = r.cell_id group by r.cell_id)"
 
 
@@ -303,7 +303,7 @@ def sca_twi(spark, d):
 HAND_SQL = "reach(cell_id, drain_id) as (select cell_id, cell_id from cells where valid and stream union all select r.cell_id, x.drain_id from reach x join route r on r.down_id = x.cell_id join cells c on c.cell_id = r.cell_id where not c.stream)"
 
 
-@query(f"with recursive {CELLS}, {STEPS_SQL}, {d8_sql('zt')}, {ROUTE_SQL}, {HAND_SQL} select c.cell_id, round(greatest(c.zp - b.zp, 0), 6) as hand from cells c left join reach using (cell_id) left join cells b on b.cell_id = drain_id where c.valid")
+@query(f"with recursive {CELLS}, {STEPS_SQL}, {d8_sql('zt')}, {ROUTE_SQL}, {HAND_SQL} select c.cell_id, case when b.zp is not null then round(greatest(c.zp - b.zp, 0), 6) end as hand from cells c left join reach using (cell_id) left join cells b on b.cell_id = drain_id where c.valid")
 def hand_flow(spark, d):
     c = routed(B.cells(spark, d), "zt")
     return flow.height_above_drainage(c, "zp").where("valid").select("cell_id", F.round("hand", 6).alias("hand"))
@@ -378,10 +378,10 @@ def pmax_note(spark, d):
     return overlaid(spark, d).groupBy("p_max_note").agg(F.count("*").alias("n"))
 
 
-@query(f"with {OVERLAY_SQL} select key, name, round(p_max, 8) as p_max, round(p_mean, 8) as p_mean, on_site_release_lb from ov where d1 order by ov.p_max desc, on_site_release_lb desc, key limit 5")
+@query(f"with {OVERLAY_SQL} select key, name, round(p_max, 6) as p_max, round(p_mean, 6) as p_mean, on_site_release_lb from ov where d1 order by ov.p_max desc, on_site_release_lb desc, key limit 5")
 def top5_headline(spark, d):
     top = facilities.headline(overlaid(spark, d).where("d1"), "key")
-    return top.select("key", "name", F.round("p_max", 8).alias("p_max"), F.round("p_mean", 8).alias("p_mean"), "on_site_release_lb")
+    return top.select("key", "name", F.round("p_max", 6).alias("p_max"), F.round("p_mean", 6).alias("p_mean"), "on_site_release_lb")
 
 
 @query(f"with {OVERLAY_SQL} select {NAMES_SQL} as zone_class, count(*) as n from ov where not d1 group by 1")
@@ -412,12 +412,12 @@ def strat_sample_counts(spark, d):
     return s.agg(F.count_if("pos").alias("n_pos"), F.count_if(~F.col("pos")).alias("n_neg"), (F.count_if(~F.col("pos") & F.col("stream")) > 0).alias("near_ok"))
 
 
-SCORED_SQL = "scored as (select event_id, round(value / 500, 2) as p, cast((event_id * 37) % 100 < value / 3 as int) as y, cast(user_id % 3 + 1 as int) as block_id from events where event_type = 'purchase')"
+SCORED_SQL = "scored as (select event_id, floor(value / 5) / 100 as p, cast((event_id * 37) % 100 < value / 3 as int) as y, cast(user_id % 3 + 1 as int) as block_id from events where event_type = 'purchase')"
 
 
 def scored(spark, d):
     e = table(spark, d, "events").where("event_type = 'purchase'")
-    return e.select("event_id", F.round(F.col("value") / 500, 2).alias("p"), ((F.col("event_id") * 37) % 100 < F.col("value") / 3).cast("int").alias("y"), (F.col("user_id") % 3 + 1).cast("int").alias("block_id"))
+    return e.select("event_id", (F.floor(F.col("value") / 5) / 100).alias("p"), ((F.col("event_id") * 37) % 100 < F.col("value") / 3).cast("int").alias("y"), (F.col("user_id") % 3 + 1).cast("int").alias("block_id"))
 
 
 def ap_sql(p: str, source: str) -> str:

@@ -37,7 +37,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("zone", classify_zone(F.col("fld_zone"), F.col("zone_subty"), F.col("sfha_tf")))
 
 
-CELLS = """cells as (
+CELLS = """cells as materialized (
   select *, case when upper(trim(zone_subty)) like '%FLOODWAY%' and hazard then 2 when hazard then 1 when upper(trim(fld_zone)) = 'D' then 5
     when upper(trim(fld_zone)) = 'X' or upper(zone_subty) like '%MINIMAL FLOOD%' or zone_subty like '%0.2%'
       then case when zone_subty like '%0.2%' or upper(zone_subty) like '%SHADED%' then 3 else 4 end
