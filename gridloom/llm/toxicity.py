@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame, functions as F
 from gridloom.llm import arrays as A
 from gridloom.session import ship
 
-PER_CLASS, CLEAN_RATIO = 5000, 2
-EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.3, 1.0, 0.05, 0.05
+PER_CLASS, CLEAN_RATIO = 3000, 2
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.05
+#: Passes over the sample: as many as make so many updates, within the bounds. Small samples need more to be sure of what they show.
+UPDATES, LEAST_EPOCHS, MOST_EPOCHS = 120_000, 6, 60
 #: A feature is learned if so many training texts have it.
 MIN_TEXTS = 3
 #: And if twice the log likelihood ratio against having nothing to do with the label is so much (chance: about 1 in 2000).
 LEAST_RATIO = 12.0
+#: Bits of the hash by which features are counted before they are screened.
+SLOT_BITS = 23
 STEMS = (4, 5, 6)
 SKIPS = (1, 2, 3)
 
@@ -54,42 +58,63 @@ def features(texts: list[bytes]):
         yield a, b, np.concatenate(keys), np.concatenate(docs)
 
 
-def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Features of at least MIN_TEXTS texts whose share differs between the labels beyond chance (likelihood ratio)."""
-    if not rows:
-        return np.zeros(0, np.uint64)
-    keys, at = np.unique(np.concatenate(rows), return_inverse=True)
-    label = np.repeat(labels, [len(r) for r in rows])
-    n1 = np.bincount(at, label, len(keys))
-    n = np.bincount(at, minlength=len(keys)).astype(float)
-    rate = labels.mean()
-    total1, total = labels.sum(), len(labels)
-
-    def part(x, y, q):
-        """x of y, against a rate q."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(x > 0, x * np.log(x / (y * q)), 0) + np.where(y > x, (y - x) * np.log((y - x) / (y * (1 - q))), 0)
+def distinct(texts: list[bytes]):
+    """features(), each hash once per text, in the order of the texts."""
+    for a, b, keys, docs in features(texts):
+        _, first = np.unique(A.mix_with(keys, docs.astype(np.uint64)), return_index=True)
+        first = first[np.argsort(docs[first], kind="stable")]
+        yield a, b, keys[first], docs[first]
 
-    ratio = 2 * (part(n1, n, rate) + part(total1 - n1, np.maximum(total - n, 1e-9), rate))
-    return keys[(n >= MIN_TEXTS) & (ratio >= LEAST_RATIO)]
 
+def ratio(n1: np.ndarray, n: np.ndarray, total1: float, total: float) -> np.ndarray:
+    """Twice the log likelihood ratio of n1 of n texts with label 1, against the rate of all texts."""
+    rate = total1 / total
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes and weights that are not zero, and the bias."""
+    def part(x, y):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log(x / (y * rate)), 0) + np.where(y > x, (y - x) * np.log((y - x) / (y * (1 - rate))), 0)
+
+    return 2 * (part(n1, n) + part(total1 - n1, np.maximum(total - n, 1e-9)))
+
+
+def telling(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Features of at least MIN_TEXTS texts whose share differs between the labels beyond chance, and each text's own of them.
+
+    Counts by a part of the hash screen the features first, so that memory does not grow with their number.
+    """
+    slot = np.uint64((1 << SLOT_BITS) - 1)
+    n, n1 = np.zeros(1 << SLOT_BITS, np.float32), np.zeros(1 << SLOT_BITS, np.float32)
+    for a, _, keys, docs in distinct(texts):
+        at = (keys & slot).astype(np.int64)
+        np.add.at(n, at, np.float32(1))
+        np.add.at(n1, at, labels[a + docs].astype(np.float32))
+    busy = np.flatnonzero(n >= MIN_TEXTS)
+    good = np.zeros(1 << SLOT_BITS, bool)
+    good[busy] = ratio(n1[busy].astype(float), n[busy].astype(float), labels.sum(), len(labels)) >= LEAST_RATIO / 2
+    del n, n1
     rows: list[np.ndarray] = []
-    for a, b, keys, docs in features(texts):
-        order = np.lexsort((keys, docs))
-        k, d = keys[order], docs[order]
-        new = A.group_starts(d, k)
-        k, d = k[new], d[new]
-        cut = np.searchsorted(d, np.arange(b - a + 1))
-        rows += [k[cut[i] : cut[i + 1]] for i in range(b - a)]
-    vocabulary = telling(rows, labels)
+    for a, b, keys, docs in distinct(texts):
+        keep = good[(keys & slot).astype(np.int64)]
+        keys, docs = keys[keep], docs[keep]
+        cut = np.searchsorted(docs, np.arange(b - a + 1))
+        rows += [keys[cut[i] : cut[i + 1]] for i in range(b - a)]
+    if not rows:
+        return np.zeros(0, np.uint64), []
+    keys, at = np.unique(np.concatenate(rows), return_inverse=True)
+    exact1 = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(keys))
+    exact = np.bincount(at, minlength=len(keys)).astype(float)
+    vocabulary = keys[(exact >= MIN_TEXTS) & (ratio(exact1, exact, labels.sum(), len(labels)) >= LEAST_RATIO)]
     ids = []
     for k in rows:
         at = np.searchsorted(vocabulary, k)
         at[at == len(vocabulary)] = 0
         ids.append(at[vocabulary[at] == k] if len(vocabulary) else at[:0])
+    return vocabulary, ids
+
+
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes and weights that are not zero, and the bias."""
+    vocabulary, ids = telling(texts, labels)
     z, n = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     bias = len(vocabulary)
     rng = np.random.default_rng(9)
@@ -100,7 +125,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, alpha: flo
 
     penalty = np.full(len(vocabulary) + 1, l1)
     penalty[bias] = 0.0
-    for _ in range(epochs):
+    for _ in range(epochs or max(LEAST_EPOCHS, min(MOST_EPOCHS, UPDATES // max(1, len(ids))))):
         for r in rng.permutation(len(ids)):
             i = np.append(ids[r], bias)
             w = weights(i, penalty[i])
