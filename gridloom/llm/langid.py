@@ -113,10 +113,10 @@ class Models:
                     to = table[state[:n] + c]
                     end = np.flatnonzero(to < 0)
                     if len(end):
-                        count[end] += 1
+                        count[end] += state[end] > 0
                         again = table[c[end]]  # the letter that ended a phrase begins the next
                         to[end] = np.maximum(again, 0)
-                        count[end[again < 0]] += 1
+                        count[end[again < 0]] += 1  # one that no sample has is a phrase of its own
                     state[:n] = to
                 count += state > 0
                 out[a:b, j] = np.bincount(seg_of, count, b - a)
