@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gridloom.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,4 +98,3 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_warc, op7_exact_topk, op8_source_mixing, op9_toxicity, op10_minhash)}
-ORACLE: dict[str, str] = {}
