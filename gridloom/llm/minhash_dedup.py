@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm import arrays as A
@@ -28,6 +29,10 @@ from gridloom.llm.components import components
 from gridloom.session import partitions, ship, stored
 
 SIGMAS = 4.7
+#: Many coordinates make the threshold sharp: the fewer a pair needs beyond those that a shared passage gives it, the more such pairs are met.
+COORDINATES = 192
+#: Bits of the filter that keeps most documents without a candidate from being shuffled: 8 for each wanted document, within these bounds. The joins after it are exact.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
 
 def enough_matches(coordinates: int, similarity: float) -> int:
@@ -58,20 +63,43 @@ def texts_of(batch: pa.RecordBatch, col: str) -> list[bytes]:
 
 
 def sketch(h: np.ndarray, n: np.ndarray, coordinates: int) -> np.ndarray:
-    """Signatures (uint32) of the texts that have shingles; zeros for others."""
+    """Signatures (uint32) of the texts that have shingles; zeros for others. Each product of a seed serves two coordinates."""
     rng = np.random.default_rng(41)
-    seeds = rng.integers(0, 1 << 63, (coordinates, 2), dtype=np.uint64)
+    seeds = rng.integers(0, 1 << 63, ((coordinates + 1) // 2, 2), dtype=np.uint64)
     sig = np.zeros((len(n), coordinates), np.uint32)
     some = np.flatnonzero(n)
     if len(some):
         start = (np.cumsum(n) - n)[some]
-        for j in range(coordinates):
-            y = (((h ^ seeds[j, 0]) * (seeds[j, 1] | np.uint64(1))) >> np.uint64(32)).astype(np.uint32)
-            sig[some, j] = np.minimum.reduceat(y, start)
+        for j in range(0, coordinates, 2):
+            y = (h ^ seeds[j // 2, 0]) * (seeds[j // 2, 1] | np.uint64(1))
+            y ^= y >> np.uint64(32)
+            y *= np.uint64(0xD6E8FEB86659FD93)
+            halves = y.view(np.uint32).reshape(-1, 2)
+            for k in range(min(2, coordinates - j)):
+                sig[some, j + k] = np.minimum.reduceat(np.ascontiguousarray(halves[:, 1 - k]), start)
     return sig
 
 
-def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0.8, coordinates: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def filter_of(ids: DataFrame):
+    """A test of Arrow columns of ids that is true for all given ids and for few others. Its size is bounded, whatever their number."""
+    spark = ids.sparkSession
+    n = ids.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
+    at = F.pmod("doc_id", F.lit(bits))  # ids spread evenly enough, and neighbours share words
+    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("v"))
+    table = words.toPandas()  # bits / 32 rows at most
+    seen = np.zeros(bits // 32, np.uint64)
+    seen[table["w"].to_numpy(np.int64)] = table["v"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(seen.astype(np.uint32))
+
+    def test(column: pa.Array) -> np.ndarray:
+        known = pc.fill_null(column, 0).to_numpy(zero_copy_only=False) % bits
+        return (shared.value[known >> 5] >> (known & 31).astype(np.uint32)) & 1 == 1
+
+    return test
+
+
+def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = ship(df.sparkSession)
     n_parts = partitions(spark)
@@ -110,11 +138,11 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
             bucket = (token % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((who, bucket))
             starts = A.group_starts(bucket[order])
-            rows = [(int(keys[bucket[order[s]]]), A.pack(n, [(token[order[s : s + n]], 8), (who[order[s : s + n]], 8)])) for s, n in zip(starts, A.group_lengths(starts, len(order)))]
+            rows = [(int(keys[bucket[order[s]]]), A.pack(n, [(token[order[s : s + n]], 6), (who[order[s : s + n]], 8)])) for s, n in zip(starts, A.group_lengths(starts, len(order)))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
 
     def shared(batches):
-        parts = [A.unpack(p, [("<u8", 8), ("<i8", 8)]) for b in batches for p in b.column(1).to_pylist()]
+        parts = [A.unpack(p, [("<u8", 6), ("<i8", 8)]) for b in batches for p in b.column(1).to_pylist()]
         if not parts:
             return
         token, who = (np.concatenate(c) for c in zip(*parts))
@@ -150,17 +178,19 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full shingle sets are alike enough."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+        near_enough = filter_of(wanted)
 
         def full(batches):
             for b in batches:
+                b = b.filter(pa.array(near_enough(b.column(0))))
                 texts = texts_of(b, "text")
                 for i, j in A.chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
                     h, n = shingle_runs(texts[i:j], shingle_words)
                     end = np.cumsum(n).tolist()
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[e - m : e].tobytes() for e, m in zip(end, n.tolist())], pa.binary())], names=["doc_id", "shingles"])
 
-        sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(full, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+        sets = docs.mapInArrow(full, "doc_id long, shingles binary")
 
         def test(batches):
             for b in batches:
@@ -172,7 +202,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
                 yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
         wide = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return wide.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
+        return wide.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long").distinct()
 
     sizes = reps.select("rep", "n")
 
@@ -183,7 +213,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
 
     hubs = posts.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1")
     star = posts.join(hubs, "token").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    star = stored(alike(star), "star")
+    star = stored(alike(could(star)), "star")
     links = stored(confirmed(star.select("a", "b")), "confirmed")
     found = components(links, "a", "b")
 
@@ -192,7 +222,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
     open_ = stored(labelled.join(mixed, "token"), "open")
     out, all_ = open_.where("component <> main").alias("x"), open_.alias("y")
     cross = out.join(all_, "token").where("x.component <> y.component").select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    cross = stored(alike(cross).select("a", "b").join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+    cross = stored(alike(could(cross)).select("a", "b").join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     more = confirmed(cross)
     found = components(links.union(more), "a", "b")
 
