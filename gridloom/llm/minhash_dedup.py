@@ -31,6 +31,8 @@ from gridloom.session import partitions, ship, stored
 SIGMAS = 4.7
 #: Many coordinates make the threshold sharp: the fewer a pair needs beyond those that a shared passage gives it, the more such pairs are met.
 COORDINATES = 192
+#: Least members of postings that a document meets first, those it shares most with.
+HUBS = 3
 #: Bits of the filter that keeps most documents without a candidate from being shuffled: 8 for each wanted document, within these bounds. The joins after it are exact.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
@@ -80,6 +82,106 @@ def sketch(h: np.ndarray, n: np.ndarray, coordinates: int) -> np.ndarray:
     return sig
 
 
+HEAD = [("rep", np.int64), ("component", np.int64), ("n", np.int64)]
+
+
+#: Signatures travel with 8 bits a coordinate, so an early common token may be a mistaken one; that so many come before all true ones does not happen (1 in 10**8).
+TIMES = 6
+
+
+def deal(keys: np.ndarray):
+    """For mapInArrow over (rep, component, n, sig, tokens): each document once to every bucket that one of its tokens falls into."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            head = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(b.num_rows, -1).astype(np.uint8)
+            lists = b.column(4)
+            token = lists.flatten().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            mask = np.zeros(sig.shape, bool)
+            mask[doc, token & 255] = True
+            bits = np.packbits(mask, axis=1)
+            bucket = (token >> 8) % len(keys)
+            order = np.argsort(bucket, kind="stable")
+            starts = A.group_starts(bucket[order])
+            out = []
+            for s, n in zip(starts, A.group_lengths(starts, len(order))):
+                rows = order[s : s + n]
+                mine, local = np.unique(doc[rows], return_inverse=True)
+                raw = b"".join([np.array([len(mine), n], np.int64).tobytes(), *(h[mine].tobytes() for h in head), sig[mine].tobytes(), bits[mine].tobytes(), token[rows].tobytes(), local.astype(np.int64).tobytes()])
+                out.append((int(keys[bucket[rows[0]]]), A.squeeze(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "payload"])
+
+    return run
+
+
+def meet(coordinates: int, need: int, percent: int, block: int = 256):
+    """For mapInArrow over what deal() sends: pairs (a, b) of different components that share a token, agree often enough
+    and could be alike by size. A pair comes from its first TIMES common tokens only. Signatures are compared block by block, so
+    a long posting takes time, but neither rows nor memory."""
+    n_bits = -(-coordinates // 8)
+
+    def run(batches):
+        parts, tokens, owners, base = [], [], [], 0
+        for b in batches:
+            for p in b.column(1).to_pylist():
+                raw = A.unsqueeze(p)
+                n, m = np.frombuffer(raw, np.int64, 2).tolist()
+                at, cols = 16, []
+                for _, kind in HEAD:
+                    cols.append(np.frombuffer(raw, kind, n, at))
+                    at += 8 * n
+                cols.append(np.frombuffer(raw, np.uint8, n * coordinates, at).reshape(n, -1))
+                at += n * coordinates
+                cols.append(np.frombuffer(raw, np.uint8, n * n_bits, at).reshape(n, -1))
+                at += n * n_bits
+                parts.append(cols)
+                tokens.append(np.frombuffer(raw, np.int64, m, at))
+                owners.append(np.frombuffer(raw, np.int64, m, at + 8 * m) + base)
+                base += n
+        if not parts:
+            return
+        rep, component, size, sig, bits = (np.concatenate(c) for c in zip(*parts))
+        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        order = np.lexsort((size[owner], token))
+        token, owner = token[order], owner[order]
+        starts = A.group_starts(token)
+        for s, n in zip(starts.tolist(), A.group_lengths(starts, len(token)).tolist()):
+            if n < 2:
+                continue
+            who, coordinate = owner[s : s + n], int(token[s] & 255)
+            for i in range(0, n, block):
+                x = who[i : i + block]
+                for j in range(i, n, block):
+                    y = who[j : j + block]
+                    if 10000 * size[x[-1]] < percent * size[y[0]]:
+                        break  # the rest is larger still
+                    ok = component[x][:, None] != component[y][None, :]
+                    ok &= 10000 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :])
+                    if i == j:
+                        ok &= np.tri(len(x), dtype=bool).T & ~np.eye(len(x), dtype=bool)
+                    if not ok.any():
+                        continue
+                    u, v = np.nonzero(ok)
+                    for k in range(0, len(u), 1 << 14):
+                        p, q = x[u[k : k + (1 << 14)]], y[v[k : k + (1 << 14)]]
+                        same = sig[p] == sig[q]
+                        hit = np.flatnonzero(same.sum(1) >= need)
+                        if not len(hit):
+                            continue
+                        p, q, same = p[hit], q[hit], same[hit]
+                        common = same & np.unpackbits(bits[p] & bits[q], axis=1, count=coordinates).astype(bool)
+                        mine = common[:, :coordinate].sum(1) < TIMES
+                        a, b = np.minimum(rep[p[mine]], rep[q[mine]]), np.maximum(rep[p[mine]], rep[q[mine]])
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def filter_of(ids: DataFrame):
     """A test of Arrow columns of ids that is true for all given ids and for few others. Its size is bounded, whatever their number."""
     spark = ids.sparkSession
@@ -125,7 +227,9 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
     reps = stored(sketches.where("n > 0").join(groups.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sig"), "representatives")
 
     def tokens_of(sig: np.ndarray) -> np.ndarray:
-        return A.mix((sig.astype(np.uint64) << np.uint64(16)) | np.arange(sig.shape[1], dtype=np.uint64))
+        """40 bits of a hash of coordinate and value; the last byte is the coordinate."""
+        at = np.arange(sig.shape[1], dtype=np.uint64)
+        return A.mix((sig.astype(np.uint64) << np.uint64(16)) | at) >> np.uint64(24) << np.uint64(8) | at
 
     def post(batches):
         for b in batches:
@@ -135,7 +239,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(rep), -1)
             token = tokens_of(sig).ravel()
             who = np.repeat(rep, sig.shape[1])
-            bucket = (token % np.uint64(n_parts)).astype(np.int64)
+            bucket = ((token >> np.uint64(8)) % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((who, bucket))
             starts = A.group_starts(bucket[order])
             rows = [(int(keys[bucket[order[s]]]), A.pack(n, [(token[order[s : s + n]], 6), (who[order[s : s + n]], 8)])) for s, n in zip(starts, A.group_lengths(starts, len(order)))]
@@ -212,17 +316,20 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
         return p.where(10000 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
     hubs = posts.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1")
-    star = posts.join(hubs, "token").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    met = posts.join(hubs, "token").where("rep > a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"))
+    best = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", (-F.col("a")).alias("a"))), asc=False), 1, HUBS).alias("x"))
+    star = best.select("b", F.explode("x.a").alias("a")).select((-F.col("a")).alias("a"), "b")
     star = stored(alike(could(star)), "star")
     links = stored(confirmed(star.select("a", "b")), "confirmed")
     found = components(links, "a", "b")
 
     labelled = posts.join(found, F.col("rep") == F.col("id"), "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("token").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "main")
-    open_ = stored(labelled.join(mixed, "token"), "open")
-    out, all_ = open_.where("component <> main").alias("x"), open_.alias("y")
-    cross = out.join(all_, "token").where("x.component <> y.component").select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    cross = stored(alike(could(cross)).select("a", "b").join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+    open_ = labelled.join(mixed, "token").groupBy("rep").agg(F.first("component").alias("component"), F.collect_list("token").alias("tokens"))
+    open_ = open_.join(reps, "rep").select("rep", "component", "n", "sig", "tokens")
+    dealt = open_.mapInArrow(deal(keys), "bucket int, payload binary").repartition(n_parts, "bucket")
+    cross = dealt.mapInArrow(meet(coordinates, need, percent), "a long, b long")
+    cross = stored(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     more = confirmed(cross)
     found = components(links.union(more), "a", "b")
 
