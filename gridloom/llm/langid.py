@@ -1,12 +1,13 @@
-"""Language ID by cross-parsing: the language whose labelled text parses a document into fewest phrases wins.
+"""Language ID by cross-parsing: the language whose labelled text says a document in fewest bits wins.
 
 For each language a suffix automaton is built of a bounded sample of its labelled text (normalised: letters in lower case,
-anything else one blank). A text is parsed greedily into the longest phrases that occur in the sample; their number per
-letter estimates the cross entropy with that language. The automata are transition tables over the bytes that occur, so
-thousands of text segments walk them at once in NumPy; a segment's last phrase is counted by the segment's end.
+anything else one blank). A text is parsed greedily into the longest phrases that occur in the sample. Each phrase costs
+a pointer into the sample (the logarithm of its size) and a length; the sum estimates the cross entropy with that language
+whatever the size of its sample. The automata are transition tables over the bytes that occur, so thousands of text
+segments walk them at once in NumPy; a segment's last phrase is counted by the segment's end.
 
-The sample: at most `docs_per_language` labelled rows of each of at most `most_languages` languages, cut to
-`sample_bytes` of normalised text, the same number for every language, so that phrase counts compare.
+The sample: at most `docs_per_language` labelled rows of each language, cut to `sample_bytes` of normalised text. Every
+language keeps its own, however little or much the others have; with equal sizes the bits are in the order of the phrases.
 
 Defined results: null texts and those without a letter are `und` with score 0; without labelled text everything is `und`;
 with one language everything with a letter is that one; ties go to the language first by code point.
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from gridloom.llm import arrays as A
 from gridloom.session import ship
 
-DOCS_PER_LANGUAGE, SAMPLE_BYTES, MOST_LANGUAGES = 80, 24_000, 200
-#: Bytes of all transition tables together; many languages get smaller samples.
-TABLE_BYTES = 64 << 20
+DOCS_PER_LANGUAGE, SAMPLE_BYTES = 80, 24_000
+#: Bits of a phrase's length. A tiny sample, of which any letter is a phrase, costs more than a language's own full sample.
+LENGTH_BITS = 4.0
+#: Bytes of transition tables, and of their transitions, that a worker keeps; those of further languages are made again when used.
+TABLE_BYTES, MOVES_BYTES = 64 << 20, 128 << 20
 SEGMENT = 256
 #: ASCII that is no letter turns blank.
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -71,20 +74,44 @@ def suffix_automaton(sample: bytes) -> list[dict[int, int]]:
 class Models:
     """One flat transition table per language over the bytes of all samples; -1 where a phrase ends."""
 
-    def __init__(self, samples: dict[str, bytes]):
+    def __init__(self, samples: dict[str, bytes], table_bytes: int = TABLE_BYTES, moves_bytes: int = MOVES_BYTES):
         self.langs = sorted(samples)
-        used = sorted({*b"".join(samples.values())})
+        self.samples = [samples[k] for k in self.langs]
+        self.bits = np.array([np.log2(max(1, len(x))) + LENGTH_BITS for x in self.samples])
+        used = sorted({c for x in self.samples for c in x})
         self.width = len(used) + 1
         self.code = np.zeros(256, np.int32)
         self.code[used] = np.arange(1, self.width)
-        self.tables = []
-        for lang in self.langs:
-            nxt = suffix_automaton(samples[lang])
-            t = np.full((len(nxt), self.width), -1, np.int32)
-            for s, moves in enumerate(nxt):
-                for c, to in moves.items():
-                    t[s, self.code[c]] = to * self.width
-            self.tables.append(t.ravel())
+        self.room = [table_bytes, moves_bytes]
+        self.tables: dict[int, np.ndarray] = {}
+        self.kept: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+
+    def moves(self, j: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """Size of a language's table, and the places and values of its transitions."""
+        if j in self.kept:
+            return self.kept[j]
+        nxt = suffix_automaton(self.samples[j])
+        n = np.fromiter(map(len, nxt), np.int64, len(nxt))
+        total = int(n.sum())
+        byte = np.fromiter((c for m in nxt for c in m), np.int64, total)
+        to = np.fromiter((t for m in nxt for t in m.values()), np.int64, total)
+        out = len(nxt) * self.width, (np.repeat(np.arange(len(nxt)), n) * self.width + self.code[byte]).astype(np.int32), (to * self.width).astype(np.int32)
+        if out[1].nbytes * 2 <= self.room[1]:
+            self.room[1] -= out[1].nbytes * 2
+            self.kept[j] = out
+        return out
+
+    def table(self, j: int) -> np.ndarray:
+        if j in self.tables:
+            return self.tables[j]
+        size, at, to = self.moves(j)
+        t = np.full(size, -1, np.int32)
+        t[at] = to
+        if t.nbytes <= self.room[0]:
+            self.room[0] -= t.nbytes
+            self.tables[j] = t
+            self.kept.pop(j, None)
+        return t
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text by each language."""
@@ -102,7 +129,8 @@ class Models:
             order = np.argsort(-length, kind="stable")
             start, length, seg_of = start[order], length[order], seg_of[order]
             active = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # segments longer than each step
-            for j, table in enumerate(self.tables):
+            for j in range(len(self.langs)):
+                table = self.table(j)
                 count = np.zeros(len(start), np.int32)
                 state = np.zeros(len(start), np.int32)
                 for step in range(SEGMENT):
@@ -126,39 +154,34 @@ class Models:
         ready = [normal(t or "") for t in texts]
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        n = self.phrases(ready)
+        n = self.phrases(ready) * self.bits
         best = n.argmin(1)
-        least = n[np.arange(len(n)), best].astype(float)
-        rest = n.copy()
-        rest[np.arange(len(n)), best] = np.iinfo(np.int64).max
-        second = rest.min(1).astype(float) if n.shape[1] > 1 else np.full(len(n), np.inf)
+        least = n[np.arange(len(n)), best]
+        n[np.arange(len(n)), best] = np.inf
+        second = n.min(1)
         with np.errstate(divide="ignore", invalid="ignore"):
             score = np.where(least == 0, 0.0, 1 - 0.5 * least / second)
         lang = [self.langs[i] if t else "und" for i, t in zip(best.tolist(), ready)]
         return lang, np.where([bool(t) for t in ready], np.clip(score, 0, 1), 0.0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES, most_languages: int = MOST_LANGUAGES) -> dict[str, bytes]:
-    """Samples by language, of one length, from the labelled rows given (the caller leaves held-out rows away)."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+    """Samples by language, from the labelled rows given (the caller leaves held-out rows away)."""
     ship(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col, F.lit("langid")).alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = labelled.withColumn("nth", nth).where(F.col("nth") <= docs_per_language)
-    chosen = chosen.groupBy("lang").agg(F.collect_list(F.struct("h", "id")).alias("ids")).orderBy("lang").limit(most_languages).select("lang", F.explode("ids").alias("x")).select("lang", "x.h", "x.id")
+    chosen = labelled.withColumn("nth", nth).where(F.col("nth") <= docs_per_language).select("lang", "h", "id")
 
     def clean(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([normal(t)[: sample_bytes // 4] for t in b.column(2).to_pylist()], pa.binary())], names=["lang", "h", "text"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("lang", "h", "text")  # bounded by docs_per_language and most_languages
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("lang", "h", "text")  # docs_per_language ids of each language
     gathered: dict[str, list] = {}
     for r in rows.mapInArrow(clean, "lang string, h long, text binary").collect():
         gathered.setdefault(r.lang, []).append((r.h, bytes(r.text)))
     texts = {k: b" ".join(t for _, t in sorted(v) if t) for k, v in gathered.items()}
-    texts = {k: v for k, v in texts.items() if v}
-    width = len({*b"".join(texts.values())}) + 1
-    size = min([sample_bytes, TABLE_BYTES // (8 * width * max(1, len(texts))), *map(len, texts.values())])
-    return {k: v[: max(size, 1)] for k, v in texts.items()}
+    return {k: v[: max(sample_bytes, 1)] for k, v in texts.items() if v}
 
 
 def models(key: str, samples: dict[str, bytes]) -> Models:
@@ -170,7 +193,7 @@ def models(key: str, samples: dict[str, bytes]) -> Models:
 
 
 def identify_languages(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score (1 less half the ratio of the least phrases to the next) of every row, and the columns carried."""
+    """doc_id, lang_pred, score (1 less half the ratio of the least bits to the next) of every row, and the columns carried."""
     spark = ship(docs.sparkSession)
     names = list(dict.fromkeys((id_col, text_col, *carry)))
     schema = "doc_id long, lang_pred string, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)

@@ -168,6 +168,29 @@ def test_language_id(spark):
         assert model.phrases([t])[0, 0] == plain(t)
 
 
+def test_language_id_with_samples_of_any_size_and_number(spark):
+    from gridloom.llm.langid import Models, identify_languages, train
+
+    r = random.Random(4)
+    common = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    words = {k: ["".join(r.choice(common) for _ in range(3)) for _ in range(120)] for k in ("aa", "bb", "cc")}
+    text = lambda k, n=40: " ".join(r.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k), k) for i, k in enumerate(list(words) * 30)]
+    held = [(1000 + i, text(k), None) for i, k in enumerate(list(words) * 20)]
+    tiny = [(900, text("aa", 2)[:10], "xx"), (901, "жэ", "yy")]
+    docs = spark.createDataFrame(rows + held + tiny, "doc_id long, text string, lang string")
+    samples = train(docs)
+    assert min(len(samples[k]) for k in words) > 5000 and len(samples["xx"]) == 10
+    out = {x.doc_id: x.lang_pred for x in identify_languages(docs, samples).collect()}
+    assert all(out[1000 + i] == k for i, k in enumerate(list(words) * 20)) and out[901] == "yy"
+    many = spark.createDataFrame([(i, text("aa", 5), f"l{i:03}") for i in range(230)] + [(i, text("bb", 40), "zz") for i in range(300, 340)], "doc_id long, text string, lang string")
+    samples = train(many)
+    assert len(samples) == 231 and len(samples["zz"]) > 5000
+    assert Models(samples).predict([text("bb", 40)])[0] == ["zz"]
+    texts = [text(k).encode() for k in words]
+    assert (Models(samples, 0, 0).phrases(texts) == Models(samples).phrases(texts)).all()
+
+
 def test_warc(spark):
     from gridloom.llm.warc import coalesce, fresh_archive, read_warc, write_warc
 
