@@ -7,8 +7,11 @@ how far pages differ there; the larger one is the node's importance. A branch th
 a host says nothing about any one page, and is removed from each of them.
 
 Hosts with few pages, and templates filled with ever new text, have no low entropies. So a node's presentation counts
-too: elements and class words that stand for menus, headers, footers, sidebars, notices, adverts, forms and comments are
-of no importance anywhere, and where a page marks its article, nothing outside of it is.
+too: elements and class names that stand for menus, headers, footers, sidebars, notices, adverts, forms and comments are
+of no importance anywhere, and where a page marks its article, nothing outside of it is. A name counts as a whole: each of
+its parts is such a word, or says where or in what it stands (site-footer, comment-list). Names with other parts (no-sidebar,
+comments-open, share-prices) say nothing, nor do ids of headings, and of sections within an article only comments do. No
+name removes an article or main element, or what the page's article or main element lies in.
 
 Statistics are counted by (host, node, hash) with partial aggregation, so a host with a third of all pages is no hot
 group; only the unimportant nodes of each host meet the pages again.
@@ -34,10 +37,15 @@ LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head nav footer aside form button select option input menu dialog script style noscript template textarea title iframe svg math canvas object".split())
+DROPPED = frozenset("head nav footer aside form button select option input menu dialog script style noscript template textarea title iframe svg canvas object".split())
 DROPPED_WORDS = frozenset("ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu nav navbar navigation newsletter notice pager pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe widget".split())
+#: Parts of names that say where or in what a thing stands: before the dropped words, and after them; and names with other parts.
+BEFORE = frozenset("site page post entry article blog main primary secondary global top bottom header mobile desktop sticky fixed inline js".split())
+AFTER = frozenset("area bar block body bottom box btn button buttons column container desktop field footer form group header heading icon icons inner input item items label link links list mobile outer panel placeholder row section slot title top unit wrap wrapper zone".split())
+DROPPED_NAMES = frozenset("related-posts related-articles related-stories related-content promoted-content sponsored-content".split())
+COMMENTS = frozenset("comment comments disqus replies reply".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 #: An element ends open ones of these kinds, up to the given bound.
 ENDS = {"p": ({"p"}, {"td", "th", "article", "section", "div", "li", "blockquote"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -45,24 +53,40 @@ ENDS = {"p": ({"p"}, {"td", "th", "article", "section", "div", "li", "blockquote
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-z0-9_-]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
+def dropped_words(name: str) -> set[str]:
+    """The words by which a class or id stands for something other than an article; none if it has other parts too."""
+    parts = [w for w in WORD.findall(name) if len(w) > 1] if NAME.fullmatch(name) else []
+    if name.replace("_", "-") in DROPPED_NAMES:
+        return set(parts)
+    at = [i for i, w in enumerate(parts) if w in DROPPED_WORDS]
+    if not at or not all(w in DROPPED_WORDS or w in BEFORE and i < at[0] or w in AFTER and i > at[0] for i, w in enumerate(parts)):
+        return set()
+    return {parts[i] for i in at}
+
+
 @lru_cache(100_000)
-def look(tag: str, attributes: str) -> tuple[str, bool]:
-    """The name of an element in a style path, and whether it stands for something other than an article."""
+def look(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """The name of an element in a style path, and whether its kind, its names anywhere, and its names outside of an article
+    stand for something other than an article."""
     got = {k.lower(): html.unescape(a or b or c or "").lower() for k, a, b, c in ATTRIBUTE.findall(attributes)}
     words = sorted({*got.get("class", "").split(), *got.get("id", "").split()})
-    parts = {w for x in words for w in WORD.findall(x)}
+    by_class = {w for x in got.get("class", "").split() for w in dropped_words(x)}
+    by_id = {w for x in got.get("id", "").split() for w in dropped_words(x)} if not re.fullmatch("h[1-6]", tag) else set()
+    if tag in ("article", "main"):
+        by_class, by_id = set(), set()
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
-    return ".".join([tag, *(re.sub(r"\d+", "0", w) for w in words)]), tag in DROPPED or bool(parts & DROPPED_WORDS) or got.get("role") in DROPPED_ROLES or hidden
+    return ".".join([tag, *(re.sub(r"\d+", "0", w) for w in words)]), tag in DROPPED or got.get("role") in DROPPED_ROLES or hidden, bool(by_class or (by_id & COMMENTS if tag == "section" else by_id)), bool(by_class or by_id)
 
 
 class Node:
-    __slots__ = ("tag", "path", "drop", "inside", "children", "texts")
+    __slots__ = ("tag", "path", "drop", "named", "inside", "children", "texts")
 
-    def __init__(self, tag: str, path: str, drop: bool, inside: bool):
-        self.tag, self.path, self.drop, self.inside, self.children, self.texts = tag, path, drop, inside, [], []
+    def __init__(self, tag: str, path: str, drop: bool, inside: bool, named: bool = False):
+        self.tag, self.path, self.drop, self.inside, self.named, self.children, self.texts = tag, path, drop, inside, named, [], []
 
 
 def parse(page: str):
@@ -70,6 +94,7 @@ def parse(page: str):
     root = Node("body", "body", False, False)
     stack, nodes, blocks, text, where = [root], [root], [], [], []
     end, n = 0, len(page)
+    clear, spared = False, []  # whether an article lies in nothing dropped by its name; what other articles lie in
 
     def flush():
         if text:
@@ -102,7 +127,7 @@ def parse(page: str):
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if any(x.tag in BLOCK or x.drop for x in stack[i:]):
+                    if any(x.tag in BLOCK or x.drop or x.named for x in stack[i:]):
                         flush()
                     del stack[i:]
                     break
@@ -126,12 +151,19 @@ def parse(page: str):
                 if stack[i].tag in ends:
                     flush()
                     del stack[i:]
-        name, drop = look(tag, m[3])
+        name, drop, named, named_outside = look(tag, m[3])
         up = stack[-1]
         inside = up.inside or tag in ("article", "main")
-        node = Node(tag, f"{up.path}>{name}", up.drop or drop or tag == "header" and not inside, inside)
-        if node.drop and not up.drop:
+        node = Node(tag, f"{up.path}>{name}", up.drop or drop or tag == "header" and not inside, inside, named if inside else named_outside)
+        if node.drop and not up.drop or node.named:
             flush()
+        if inside and not up.inside and not node.drop:
+            above = [x for x in stack if x.named]
+            if tag == "main":
+                for x in above:
+                    x.named = False
+            clear |= tag == "main" or not above
+            spared += above
         up.children.append(name)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -147,6 +179,9 @@ def parse(page: str):
         stack.append(node)
         nodes.append(node)
     flush()
+    if not clear:
+        for x in spared:
+            x.named = False
     return blocks, nodes
 
 
@@ -172,7 +207,7 @@ def style_nodes(page: str):
 
 def main_text(page: str, unimportant: frozenset[int] = frozenset()) -> str:
     blocks, _ = parse(page)
-    kept = [(t, chain) for t, chain in blocks if not any(x.drop for x in chain)]
+    kept = [(t, chain) for t, chain in blocks if not any(x.drop or x.named for x in chain)]
     if any(chain[-1].inside for _, chain in kept):
         kept = [x for x in kept if x[1][-1].inside]
     if unimportant:

@@ -134,6 +134,20 @@ def test_html_extraction(spark):
     assert out == {(i, f"Story {i} of its own.") for i in range(8)} | {(8, ""), (9, "only")}
 
 
+def test_html_names_count_as_a_whole():
+    from gridloom.llm.html_extract import main_text
+
+    for start, end in (("<main class='with-sidebar'>", "</main>"), ("<div class='post no-sidebar'>", "</div>"), ("<article class='comments-open'>", "</article>"), ("<main id=search class='widget'>", "</main>"), ("<div class='has-ads menu-open'>", "</div>"), ("<div class='sidebar'><div class=widget><article>", "</article></div></div>"), ("<div class='nav'><main>", "</main></div>")):
+        assert main_text(f"<body>{start}<p>Text</p>{end}<div class='ad'>no</div></body>") == "Text", start
+    assert main_text("<article><h2 id='related-work'>A</h2><p>b<h2 id='search'>C</h2><section id='search-algorithms'>d</section><section id='search'>e</section><p id='share-prices'>f</p></article>") == "A\n\nb\n\nC\n\nd\n\ne\n\nf"
+    for name in ("ad", "ad-slot-3", "cookie-notice", "site-footer", "comment-list", "related_posts", "main-nav", "x sidebar", "social-share-buttons"):
+        assert main_text(f"<article><p>Text</p><div class='{name}'>no</div><div id='{name}'>no</div></article>") == "Text" or name == "x sidebar", name
+        assert main_text(f"<p>Text</p><div class='{name}'>no</div>") == "Text", name
+    assert main_text("<main><article>Text</article><section id=comments><article class=comment>no</article></section></main>") == "Text"
+    assert main_text("<article>Text</article><div class=related-posts><article>no</article></div>") == "Text"
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='application/x-tex'>x=1</annotation></math> be so.</p></article>") == "Let x=1 be so."
+
+
 def test_language_id(spark):
     from gridloom.llm.langid import Models, identify_languages, suffix_automaton, train
 
