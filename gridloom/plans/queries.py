@@ -472,12 +472,21 @@ def calibration_choice(spark, d):
     return spark.createDataFrame([(name, round(raw, 6), round(best, 6))], "chosen string, ap_raw double, ap_chosen double")
 
 
+def featured(spark, d):
+    """The valid cells with the classifier's six features, as stage C reads them from stage B: open water stands for waterbodies."""
+    c = routed(B.cells(spark, d), "zt")
+    c = focal.slope(c, "zt").join(flow.flow_accumulation(c), "cell_id", "left").withColumn("twi", S.wetness(S.specific_catchment(F.col("acc")), F.col("slope")))
+    c = stored(flow.height_above_drainage(c, "zp"), "drained")
+    for name, mask in (("flowline", F.col("stream")), ("waterbody", F.col("zone") == 0)):
+        c = focal.euclidean_distance(c.withColumn("_m", mask), "_m").withColumn(f"dist_{name}", F.coalesce("distance", F.lit(-1.0))).drop("distance", "_m")
+    return stored(c.where("valid").withColumn("y", (F.col("zp") > 20).cast("int")), "features")
+
+
 @query()
 def boosted_trees(spark, d):
-    """A short fit; the classifier has no SQL."""
-    c = B.cells(spark, d).where("valid").withColumn("a", F.col("zp")).withColumn("b", F.col("zt")).withColumn("y", (F.col("zp") > 20).cast("int"))
-    model = learning.fit_classifier(c, ("a", "b"), maxIter=3)
-    return learning.predict(model, c).select("cell_id", "p")
+    """The operator's own fit, on the cells whose features are all defined (a height above drainage needs a stream downhill); the classifier has no SQL."""
+    c = featured(spark, d)
+    return learning.predict(learning.fit_classifier(c), c).select("cell_id", "p")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

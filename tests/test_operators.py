@@ -186,3 +186,16 @@ def test_calibration_rule():
     assert learning.choose_calibration(0.27, 0.22, 0.265) == ("pooled", 0.265)
     with pytest.raises(GateError):
         learning.choose_calibration(0.27, 0.2, 0.2)
+
+
+def test_boosted_trees_is_the_operators_own_fit(spark, monkeypatch):
+    from gridloom.plans import queries as Q
+
+    seen = []
+    monkeypatch.setattr(learning, "predict", lambda model, rows, f=learning.predict: seen.append((model, rows)) or f(model, rows))
+    out = Q.boosted_trees(spark, "/root/testdata/sf0.001")
+    (assembler, gbt), rows = seen[0][0].stages, seen[0][1]
+    assert tuple(assembler.getInputCols()) == learning.FEATURES and gbt.getNumTrees == 160 and gbt.getOrDefault("stepSize") == 0.05 and gbt.getOrDefault("maxBins") == 128
+    assert out.count() == rows.where("hand is not null and twi is not null").count() > 0
+    p = {r.cell_id: r.p for r in out.collect()}
+    assert min(p.values()) < 0.1 and max(p.values()) > 0.9
