@@ -199,3 +199,42 @@ def test_boosted_trees_is_the_operators_own_fit(spark, monkeypatch):
     assert out.count() == rows.where("hand is not null and twi is not null").count() > 0
     p = {r.cell_id: r.p for r in out.collect()}
     assert min(p.values()) < 0.1 and max(p.values()) > 0.9
+
+
+def test_calibration_over_all_events_is_brute_forces(spark):
+    import numpy as np
+
+    from gridloom.plans import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/events.parquet").toPandas()
+    v = e["value"].to_numpy(float)
+    p, y, block = v / 500, ((e["event_id"] * 37) % 100 < v / 3).to_numpy(float), (e["user_id"] % 3 + 1).to_numpy()
+    assert len(set(p)) > 0.9 * len(p) and e["event_type"].nunique() > 1
+
+    def fitted(p, y):
+        """The greatest, over starts up to x, of the least, over ends from x on, of the mean."""
+        x = np.unique(p)
+        at = np.searchsorted(x, p)
+        s, w = (np.concatenate(([0], np.cumsum(np.bincount(at, c)))) for c in (y, np.ones(len(y))))
+        best = np.full(len(x), -np.inf)
+        for j in range(len(x)):
+            means = (s[j + 1 :] - s[j]) / (w[j + 1 :] - w[j])
+            best[j:] = np.maximum(best[j:], np.minimum.accumulate(means[::-1])[::-1])
+        return x, best
+
+    def precision(p, y):
+        steps = [(y[p == t].sum(), y[p >= t].mean()) for t in np.unique(p)]
+        return sum(a * b for a, b in steps) / y.sum()
+
+    pooled, nested = np.interp(p, *fitted(p, y)), np.zeros(len(p))
+    for b in (1, 2, 3):
+        nested[block == b] = np.interp(p[block == b], *fitted(p[block != b], y[block != b]))
+    for name, want in (("isotonic_pooled_all", pooled), ("isotonic_nested_all", nested)):
+        out = {r.event_id: r.p_cal for r in Q.QUERIES[name](spark, d).collect()}
+        assert len(out) == len(e) and [out[i] for i in e["event_id"]] == pytest.approx(list(want), abs=2e-6), name
+    raw, near, far = precision(p, y), precision(nested.round(12), y), precision(pooled.round(12), y)
+    want = ("nested", near) if abs(near - raw) <= 0.02 else ("pooled", far) if abs(far - raw) <= 0.02 else ("refused", None)
+    got = Q.calibration_choice_all(spark, d).first()
+    print(raw, near, far, got)
+    assert got.chosen == want[0] and got.ap_raw == pytest.approx(raw, abs=1e-6) and (got.ap_chosen is None or got.ap_chosen == pytest.approx(want[1], abs=1e-3))
