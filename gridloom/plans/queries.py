@@ -256,6 +256,19 @@ def edt_stream(spark, d):
     return focal.euclidean_distance(c, "m").select("cell_id", F.round("distance", 6).alias("distance"))
 
 
+# The two queries above keep to the streams of some blocks, as their SQL does. These take the whole stream mask, as stage B does.
+
+
+@query(f"with {CELLS} select distinct a.cell_id from cells a join cells b on b.\"row\" between a.\"row\" - 1 and a.\"row\" + 1 and abs(a.\"row\" - b.\"row\") + abs(a.col - b.col) <= 1 where b.stream")
+def halo_dilate_all(spark, d):
+    return focal.dilate(B.cells(spark, d), "stream").where("halo").select("cell_id")
+
+
+@query()
+def edt_stream_all(spark, d):
+    return focal.euclidean_distance(B.cells(spark, d), "stream").select("cell_id", F.round("distance", 6).alias("distance"))
+
+
 # ---- flow ----
 
 FILL_SQL = f"""seeds as (select a.cell_id from cells a left join cells b on b.valid and abs(a."row" - b."row") <= 1 and abs(a.col - b.col) <= 1 where a.valid group by a.cell_id, a.stream having count(b.cell_id) < 9 or a.stream),

@@ -238,3 +238,17 @@ def test_calibration_over_all_events_is_brute_forces(spark):
     got = Q.calibration_choice_all(spark, d).first()
     print(raw, near, far, got)
     assert got.chosen == want[0] and got.ap_raw == pytest.approx(raw, abs=1e-6) and (got.ap_chosen is None or got.ap_chosen == pytest.approx(want[1], abs=1e-3))
+
+
+def test_distance_to_every_stream_is_brute_forces(spark):
+    import numpy as np
+
+    from gridloom.plans import queries as Q, substrate as B
+
+    d = "/root/testdata/sf0.001"
+    c = B.cells(spark, d).select("cell_id", "row", "col", "stream", "block_id").toPandas()
+    m = c[c["stream"]]
+    assert m["block_id"].nunique() > 2
+    want = np.sqrt(((c["row"].to_numpy()[:, None] - m["row"].to_numpy()) ** 2 + (c["col"].to_numpy()[:, None] - m["col"].to_numpy()) ** 2).min(1)) * 30
+    got = {r.cell_id: r.distance for r in Q.QUERIES["edt_stream_all"](spark, d).collect()}
+    assert [got[i] for i in c["cell_id"]] == pytest.approx(list(want), abs=1e-5)
