@@ -150,8 +150,8 @@ def records(docs: Docs, found: Anchors, bucket_of) -> Sent:
 
 
 def widths(plan: Plan) -> list[tuple[str, int]]:
-    """Lead words, 48 bits of the cover's fingerprint (compared among equal leads only), document."""
-    return [*([("<u8", 7)] if plan.words else [("<u8", 8)] * (plan.k // 8)), ("<u8", 6), ("<i8", 8)]
+    """Lead words, the cover's fingerprint (compared among equal leads only), document."""
+    return [*([("<u8", 8)] * (1 if plan.words else plan.k // 8)), ("<u8", 8), ("<i8", 8)]
 
 
 def sections(bucket: np.ndarray):

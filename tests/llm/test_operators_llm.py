@@ -79,6 +79,21 @@ def test_substring_dedup(spark, docs):
     assert dedup_substrings(frame(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_anchors_travel_with_whole_fingerprints(words):
+    from gridloom.llm import arrays as A, repeats as R
+
+    plan = R.Plan(20 if words else 50, 8, words, words, "doc_id", "text")
+    wide = R.widths(plan)
+    one = np.full(2, 5, np.uint64)
+    far = np.array([9, 9 | 1 << 63], np.uint64)  # differ in the highest bit alone
+    doc = np.array([1, 2], np.int64)
+    for lead, cover in ((one, far), (far, one)):
+        cols = [*([lead] * (len(wide) - 2)), cover, doc]
+        back = A.unpack(A.pack(2, [(c, n) for c, (_, n) in zip(cols, wide)]), wide)
+        assert R.COVERED not in R.settle(back[:-2], back[-2], back[-1], None)
+
+
 def test_minhash(spark, docs):
     from gridloom.llm.minhash_dedup import near_duplicates
 
