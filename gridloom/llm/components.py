@@ -35,3 +35,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         seen = now
     return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def join_unskewed(rows: DataFrame, facts: DataFrame, on: str | list[str], weight: str) -> DataFrame:
+    """rows joined with facts, which are unique by `on` and whose `weight` is the number of rows that have the key.
+    Keys of over a thousandth of all rows (fewer than a thousand keys, so the broadcast is bounded) meet theirs where they are."""
+    on = [on] if isinstance(on, str) else on
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = facts.where(F.col(weight) * 1000 > total)
+    there = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(facts, on)
+    return there.unionByName(rest.select(*there.columns))

@@ -1,18 +1,23 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 Every document posts its signature's (coordinate, value) pairs. Two documents alike enough share at least `matches` of
-the coordinates (the threshold lies 4.7 standard deviations below the mean at the similarity asked for), so each pair
+the coordinates (the threshold lies SIGMAS standard deviations below the mean at the similarity asked for), so each pair
 has a common value among either one's `coordinates - matches + 1` rarest: only those prefixes are posted, and documents
 with fewer than `matches` shared values are skipped. Collisions are then counted over whole signatures, and pairs that
 reach `matches` are confirmed on the full shingle sets.
 
-Equal sets collapse to one representative before anything else. Links are wanted for components, so pairs are not
-all listed: first each document meets the least member of each of its postings; then, in postings that still hold
-several components, every member outside the least one's component meets all members of other components. After that no
-candidate pair between two components is left untested.
+Equal sets collapse to one representative, which has a number of its own, before anything else. Links are wanted for
+components, so pairs are not all listed: first each document meets the least member of each of its postings; then, in
+postings that still hold several components, members of different components meet. After that no candidate pair between
+two components is left untested. Long postings are cut into blocks of members whose pairs are dealt out as cells, and the
+number of buckets follows from the members counted, so a task's memory is bounded whatever the size of a posting. Sets
+that are compared travel in parts of bounded size, once for each cell of a representative and not for each pair.
 
 Defined results: a text with fewer words than a shingle is one shingle; one without words, or a null, has none and is
-linked with nothing; rows with equal ids are one document per row that share a component; other columns are ignored.
+linked with nothing; each row is a document of its own, also where ids are equal or null, and `component_id` is the least
+id that is not null among the rows it can reach (null if there is none); `kept` says whether that is the row's own id,
+`stays` is true for exactly one row of each component: that of the least id, and of the first row among equal ids; other
+columns are ignored unless named in `carry` (one named like a result comes out with `_in` behind its name).
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm import arrays as A
-from gridloom.llm.components import components
+from gridloom.llm.columns import private, public
+from gridloom.llm.components import components, join_unskewed
 from gridloom.session import partitions, ship, stored
 
 SIGMAS = 4.7
@@ -33,8 +39,14 @@ SIGMAS = 4.7
 COORDINATES = 192
 #: Least members of postings that a document meets first, those it shares most with.
 HUBS = 3
+#: Members of a posting that meet in one cell, and members in one bucket of cells.
+CELL_MEMBERS, BUCKET_MEMBERS = 8192, 100_000
+#: Shingles of a set that travel in one row.
+PART = 512
 #: Bits of the filter that keeps most documents without a candidate from being shuffled: 8 for each wanted document, within these bounds. The joins after it are exact.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Signatures travel with 8 bits a coordinate, so an early common token may be a mistaken one; that so many come before all true ones does not happen (1 in 10**8).
+TIMES = 6
 
 
 def enough_matches(coordinates: int, similarity: float) -> int:
@@ -60,8 +72,15 @@ def shingle_runs(texts: list[bytes], words: int):
     return h[new], total[ends] - total[start]
 
 
-def texts_of(batch: pa.RecordBatch, col: str) -> list[bytes]:
-    return [x or b"" for x in batch.column(batch.schema.get_field_index(col)).cast(pa.binary()).to_pylist()]
+def fingerprints(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums of the hashes of each set."""
+    end = np.cumsum(n)
+    sums = [np.concatenate(([np.uint64(0)], np.cumsum(A.mix(h ^ np.uint64(s))))) for s in (3, 5)]
+    return [(c[end] - c[end - n]).view(np.int64) for c in sums]
+
+
+def texts_of(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def sketch(h: np.ndarray, n: np.ndarray, coordinates: int) -> np.ndarray:
@@ -82,100 +101,134 @@ def sketch(h: np.ndarray, n: np.ndarray, coordinates: int) -> np.ndarray:
     return sig
 
 
-HEAD = [("rep", np.int64), ("component", np.int64), ("n", np.int64)]
+def tokens_of(sig: np.ndarray) -> np.ndarray:
+    """40 bits of a hash of coordinate and value; the last byte is the coordinate."""
+    at = np.arange(sig.shape[1], dtype=np.uint64)
+    return A.mix((sig.astype(np.uint64) << np.uint64(16)) | at) >> np.uint64(24) << np.uint64(8) | at
 
 
-#: Signatures travel with 8 bits a coordinate, so an early common token may be a mistaken one; that so many come before all true ones does not happen (1 in 10**8).
-TIMES = 6
+def rows_of(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def cells(blocks: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For postings of so many blocks, of which a member is in block `mine`: (which posting, lower block, upper block, is it on the upper side)."""
+    which = np.repeat(np.arange(len(blocks)), blocks)
+    other = A.spread(np.zeros(len(blocks), np.int64), blocks)
+    own = mine[which]
+    return which, np.minimum(own, other), np.maximum(own, other), own > other
+
+
+HEAD = ("rid", "component", "n")
 
 
 def deal(keys: np.ndarray):
-    """For mapInArrow over (rep, component, n, sig, tokens): each document once to every bucket that one of its tokens falls into."""
+    """For mapInArrow over (rid, component, n, low, tokens, blocks): each document once to every bucket that one of its cells falls into."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             head = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(b.num_rows, -1).astype(np.uint8)
-            lists = b.column(4)
-            token = lists.flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            sig = rows_of(b.column(3), np.uint8)
+            token = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            blocks = b.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), b.column(4).value_lengths().to_numpy(zero_copy_only=False))
             mask = np.zeros(sig.shape, bool)
             mask[doc, token & 255] = True
             bits = np.packbits(mask, axis=1)
-            bucket = (token >> 8) % len(keys)
+            spot = A.mix(head[0][doc].view(np.uint64) + np.uint64(11)) % blocks.astype(np.uint64)
+            which, low, high, upper = cells(blocks, spot.astype(np.int64))
+            token, doc = token[which], doc[which]
+            bucket = (A.mix_with(token.view(np.uint64), (low << 32 | high).view(np.uint64)) % np.uint64(len(keys))).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             starts = A.group_starts(bucket[order])
             out = []
             for s, n in zip(starts, A.group_lengths(starts, len(order))):
                 rows = order[s : s + n]
                 mine, local = np.unique(doc[rows], return_inverse=True)
-                raw = b"".join([np.array([len(mine), n], np.int64).tobytes(), *(h[mine].tobytes() for h in head), sig[mine].tobytes(), bits[mine].tobytes(), token[rows].tobytes(), local.astype(np.int64).tobytes()])
-                out.append((int(keys[bucket[rows[0]]]), A.squeeze(raw)))
+                raw = [np.array([len(mine), n], np.int64), *(h[mine] for h in head), sig[mine], bits[mine], token[rows], low[rows] << 32 | high[rows], local.astype(np.int64), upper[rows]]
+                out.append((int(keys[bucket[rows[0]]]), A.squeeze(b"".join(x.tobytes() for x in raw))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "payload"])
 
     return run
 
 
-def meet(coordinates: int, need: int, percent: int, block: int = 256):
+def undeal(payload: bytes, coordinates: int):
+    """The arrays of one payload of deal()."""
+    raw = A.unsqueeze(payload)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at, out = 16, []
+    for kind, count in (*[(np.int64, n)] * 3, (np.uint8, n * coordinates), (np.uint8, n * -(-coordinates // 8)), *[(np.int64, m)] * 3, (np.bool_, m)):
+        out.append(np.frombuffer(raw, kind, count, at))
+        at += out[-1].nbytes
+    out[3:5] = [x.reshape(n, -1) for x in out[3:5]]
+    return out
+
+
+def planes_of(sig: np.ndarray) -> np.ndarray:
+    """The two low bits of every coordinate as two rows of machine words."""
+    pad = np.zeros((len(sig), -sig.shape[1] % 64), np.uint8)
+    return np.stack([np.packbits(np.concatenate((sig >> k & 1, pad), 1), axis=1).view(np.uint64) for k in (0, 1)])
+
+
+def meet(coordinates: int, similarity: float, need: int, percent: int, rows: int = 128, columns: int = 2048):
     """For mapInArrow over what deal() sends: pairs (a, b) of different components that share a token, agree often enough
-    and could be alike by size. A pair comes from its first TIMES common tokens only. Signatures are compared block by block, so
-    a long posting takes time, but neither rows nor memory."""
-    n_bits = -(-coordinates // 8)
+    and could be alike by size. A pair comes from its first TIMES common tokens only. Two bits of every coordinate are
+    compared for whole blocks of pairs at once, and all eight for the few pairs that this leaves, so that a long posting
+    takes time, but neither rows nor memory."""
+    spare = -coordinates % 64
+    need_bits = enough_matches(coordinates, similarity + (1 - similarity) / 4) + spare
 
     def run(batches):
-        parts, tokens, owners, base = [], [], [], 0
+        parts, base = [], 0
         for b in batches:
             for p in b.column(1).to_pylist():
-                raw = A.unsqueeze(p)
-                n, m = np.frombuffer(raw, np.int64, 2).tolist()
-                at, cols = 16, []
-                for _, kind in HEAD:
-                    cols.append(np.frombuffer(raw, kind, n, at))
-                    at += 8 * n
-                cols.append(np.frombuffer(raw, np.uint8, n * coordinates, at).reshape(n, -1))
-                at += n * coordinates
-                cols.append(np.frombuffer(raw, np.uint8, n * n_bits, at).reshape(n, -1))
-                at += n * n_bits
-                parts.append(cols)
-                tokens.append(np.frombuffer(raw, np.int64, m, at))
-                owners.append(np.frombuffer(raw, np.int64, m, at + 8 * m) + base)
-                base += n
+                got = undeal(p, coordinates)
+                got[7] = got[7] + base
+                base += len(got[0])
+                parts.append(got)
         if not parts:
             return
-        rep, component, size, sig, bits = (np.concatenate(c) for c in zip(*parts))
-        token, owner = np.concatenate(tokens), np.concatenate(owners)
-        order = np.lexsort((size[owner], token))
-        token, owner = token[order], owner[order]
-        starts = A.group_starts(token)
+        rid, component, size, sig, bits, token, cell, owner, upper = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        planes = planes_of(sig)
+        order = np.lexsort((size[owner], upper, cell, token))
+        token, cell, owner, upper = token[order], cell[order], owner[order], upper[order]
+        starts = A.group_starts(token, cell)
         for s, n in zip(starts.tolist(), A.group_lengths(starts, len(token)).tolist()):
-            if n < 2:
-                continue
             who, coordinate = owner[s : s + n], int(token[s] & 255)
-            for i in range(0, n, block):
-                x = who[i : i + block]
-                for j in range(i, n, block):
-                    y = who[j : j + block]
-                    if 10000 * size[x[-1]] < percent * size[y[0]]:
-                        break  # the rest is larger still
+            alone = cell[s] >> 32 == cell[s] & 0xFFFFFFFF
+            cut = int(np.searchsorted(upper[s : s + n], True))
+            left, right = (who, who) if alone else (who[:cut], who[cut:])
+            n_right = size[right]
+            for i in range(0, len(left), rows):
+                x = left[i : i + rows]
+                lo = i if alone else int(np.searchsorted(n_right, size[x[0]] * percent // 10000, "left"))
+                hi = int(np.searchsorted(n_right, size[x[-1]] * 10000 // percent, "right"))
+                for j in range(lo, hi, columns):
+                    y = right[j : min(j + columns, hi)]
                     ok = component[x][:, None] != component[y][None, :]
-                    ok &= 10000 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :])
-                    if i == j:
-                        ok &= np.tri(len(x), dtype=bool).T & ~np.eye(len(x), dtype=bool)
+                    if alone:
+                        ok &= np.arange(i, i + len(x))[:, None] < np.arange(j, j + len(y))[None, :]
                     if not ok.any():
                         continue
+                    agree = np.zeros(ok.shape, np.uint16)
+                    for w in range(planes.shape[2]):
+                        differ = (planes[0, x, w][:, None] ^ planes[0, y, w][None, :]) | (planes[1, x, w][:, None] ^ planes[1, y, w][None, :])
+                        agree += np.uint16(64) - np.bitwise_count(differ)
+                    ok &= agree >= need_bits
                     u, v = np.nonzero(ok)
                     for k in range(0, len(u), 1 << 14):
                         p, q = x[u[k : k + (1 << 14)]], y[v[k : k + (1 << 14)]]
                         same = sig[p] == sig[q]
-                        hit = np.flatnonzero(same.sum(1) >= need)
+                        hit = np.flatnonzero((same.sum(1) >= need) & (10000 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])))
                         if not len(hit):
                             continue
                         p, q, same = p[hit], q[hit], same[hit]
                         common = same & np.unpackbits(bits[p] & bits[q], axis=1, count=coordinates).astype(bool)
                         mine = common[:, :coordinate].sum(1) < TIMES
-                        a, b = np.minimum(rep[p[mine]], rep[q[mine]]), np.maximum(rep[p[mine]], rep[q[mine]])
+                        a, b = np.minimum(rid[p[mine]], rid[q[mine]]), np.maximum(rid[p[mine]], rid[q[mine]])
                         if len(a):
                             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -183,12 +236,12 @@ def meet(coordinates: int, need: int, percent: int, block: int = 256):
 
 
 def filter_of(ids: DataFrame):
-    """A test of Arrow columns of ids that is true for all given ids and for few others. Its size is bounded, whatever their number."""
+    """A test of Arrow columns of ids that is true for all given ids (and null) and for few others. Its size is bounded, whatever their number."""
     spark = ids.sparkSession
     n = ids.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * n).bit_length()))
     at = F.pmod("doc_id", F.lit(bits))  # ids spread evenly enough, and neighbours share words
-    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("v"))
+    words = ids.where("doc_id is not null").select(at.alias("at")).groupBy(F.floor(F.col("at") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("v"))
     table = words.toPandas()  # bits / 32 rows at most
     seen = np.zeros(bits // 32, np.uint64)
     seen[table["w"].to_numpy(np.int64)] = table["v"].to_numpy(np.int64).view(np.uint64)
@@ -196,49 +249,86 @@ def filter_of(ids: DataFrame):
 
     def test(column: pa.Array) -> np.ndarray:
         known = pc.fill_null(column, 0).to_numpy(zero_copy_only=False) % bits
-        return (shared.value[known >> 5] >> (known & 31).astype(np.uint32)) & 1 == 1
+        return ((shared.value[known >> 5] >> (known & 31).astype(np.uint32)) & 1 == 1) | column.is_null().to_numpy(zero_copy_only=False)
 
     return test
 
 
-def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+def compare(percent: int):
+    """For mapInArrow over (a, salt, role, rid, n, part, shingles) in the order of the first six: pairs (a, rid) alike enough.
+    A representative's own set (role 0) comes before those it is compared with; one set and one part are held at a time."""
+
+    def run(batches):
+        at = hub_parts = hub = None
+        hub_n, other, seen, both = 0, None, -1, 0
+        out = []
+
+        def close():
+            if other is not None and 10000 * both >= percent * (hub_n + other[1] - both):
+                out.append((at[0], other[0]))
+
+        for b in batches:
+            for a, salt, role, rid, n, part, raw in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if (a, salt) != at:
+                    close()
+                    at, hub_parts, hub, hub_n, other = (a, salt), {}, None, n, None
+                if role == 0:
+                    hub_parts[part] = np.frombuffer(raw, np.uint64)
+                    continue
+                if hub is None:
+                    hub = np.concatenate([hub_parts[i] for i in sorted(hub_parts)])
+                if other is None or other[0] != rid:
+                    close()
+                    other, seen, both = (rid, n), -1, 0
+                if part != seen:  # a set may come twice, if two rows have the same id and words
+                    x = np.frombuffer(raw, np.uint64)
+                    i = np.searchsorted(hub, x)
+                    i[i == len(hub)] = 0
+                    both += int((hub[i] == x).sum())
+                    seen = part
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                out.clear()
+        if at is not None:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, stays and the columns carried of every row."""
     spark = ship(df.sparkSession)
     n_parts = partitions(spark)
-    keys = A.aligned_keys(n_parts)
     need = enough_matches(coordinates, similarity)
     prefix = coordinates - need + 1
     percent = round(similarity * 10000)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, names, kinds = private(df, id_col, text_col, carry)
 
     def base(batches):
         for b in batches:
-            texts = texts_of(b, "text")
+            texts = texts_of(b.column(1))
             for i, j in A.chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
                 h, n = shingle_runs(texts[i:j], shingle_words)
-                sums = [np.concatenate(([np.uint64(0)], np.cumsum(A.mix(h ^ np.uint64(s))))) for s in (3, 5)]
-                end = np.cumsum(n)
-                prints = [(c[end] - c[end - n]).view(np.int64) for c in sums]
                 sig = sketch(h, n, coordinates)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *map(pa.array, prints), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "n", "f1", "f2", "sig"])
-
-    sketches = stored(docs.mapInArrow(base, "doc_id long, n long, f1 long, f2 long, sig binary"), "sketches")
-    groups = sketches.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stored(sketches.where("n > 0").join(groups.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "sig"), "representatives")
+                binary = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
+                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *map(pa.array, fingerprints(h, n)), binary(sig), binary(sig.astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([*cols, *(b.column(k + 2).slice(i, j - i) for k in range(len(carry)))], names=["doc_id", "n", "f1", "f2", "sig", "low", *names])
 
-    def tokens_of(sig: np.ndarray) -> np.ndarray:
-        """40 bits of a hash of coordinate and value; the last byte is the coordinate."""
-        at = np.arange(sig.shape[1], dtype=np.uint64)
-        return A.mix((sig.astype(np.uint64) << np.uint64(16)) | at) >> np.uint64(24) << np.uint64(8) | at
+    sketches = stored(docs.mapInArrow(base, "doc_id long, n long, f1 long, f2 long, sig binary, low binary" + kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    groups = stored(sketches.where("n > 0").groupBy("n", "f1", "f2").agg(first.alias("first"), F.count("*").alias("copies")), "sets").withColumn("rid", F.col("first.row"))
+    reps = stored(sketches.join(groups.select("rid"), F.col("row") == F.col("rid"), "left_semi").select(F.col("row").alias("rid"), "doc_id", "n", "f1", "f2", "sig", "low"), "representatives")
 
     def post(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            rep = b.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(len(rep), -1)
+            rid = b.column(0).to_numpy(zero_copy_only=False)
+            sig = rows_of(b.column(1), np.uint32)
             token = tokens_of(sig).ravel()
-            who = np.repeat(rep, sig.shape[1])
+            who = np.repeat(rid, sig.shape[1])
             bucket = ((token >> np.uint64(8)) % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((who, bucket))
             starts = A.group_starts(bucket[order])
@@ -250,90 +340,91 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
         if not parts:
             return
         token, who = (np.concatenate(c) for c in zip(*parts))
+        del parts
         order = np.argsort(token, kind="stable")
         token, who = token[order], who[order]
         starts = A.group_starts(token)
-        df_ = np.repeat(A.group_lengths(starts, len(token)), A.group_lengths(starts, len(token)))
-        keep = df_ > 1
-        for i in range(0, int(keep.sum()), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(who[keep][s]), pa.array(token[keep][s].view(np.int64)), pa.array(df_[keep][s], pa.int64())], names=["rep", "token", "df"])
+        lens = A.group_lengths(starts, len(token))
+        df_ = np.repeat(lens, lens)
+        keep = np.flatnonzero(df_ > 1)
+        for i in range(0, len(keep), 50_000):
+            s = keep[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(who[s]), pa.array(token[s].view(np.int64)), pa.array(df_[s], pa.int64())], names=["rid", "token", "df"])
 
-    counted = reps.mapInArrow(post, "bucket int, payload binary").repartition(n_parts, "bucket").mapInArrow(shared, "rep long, token long, df long")
+    keys = A.aligned_keys(n_parts)
+    counted = reps.select("rid", "sig").mapInArrow(post, "bucket int, payload binary").repartition(n_parts, "bucket").mapInArrow(shared, "rid long, token long, df long")
     # the rarest values come first; those of one document alone take their places in the prefix, but have no partner
-    listed = counted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")).where(F.size("all") >= need)
-    posts = stored(listed.select("rep", F.explode(F.slice("all", 1, F.greatest(F.lit(0), prefix - (coordinates - F.size("all"))))).alias("p")).select("rep", F.col("p.token").alias("token")), "posts")
-    sigs = reps.select("rep", "sig")
+    listed = counted.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")).where(F.size("all") >= need)
+    listed = listed.join(reps.select("rid", "n"), "rid")
+    posts = stored(listed.select("rid", "n", F.explode(F.slice("all", 1, F.greatest(F.lit(0), prefix - (coordinates - F.size("all"))))).alias("p")).select("rid", "n", F.col("p.token").alias("token")), "posts")
+    lows = reps.select("rid", "low")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose signatures agree often enough, with the number of agreements."""
+        """Of pairs (a, b), those whose signatures agree often enough."""
 
         def count(batches):
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-                same = (x == y).sum(1)
-                at = pa.array(np.flatnonzero(same >= need))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(same, pa.int32()).take(at)], names=["a", "b", "same"])
+                if b.num_rows:
+                    same = (rows_of(b.column(2), np.uint8) == rows_of(b.column(3), np.uint8)).sum(1)
+                    yield b.select([0, 1]).filter(pa.array(same >= need))
 
-        wide = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return wide.select("a", "b", "sig_a", "sig_b").mapInArrow(count, "a long, b long, same int")
+        wide = pairs.join(lows.select(F.col("rid").alias("a"), F.col("low").alias("low_a")), "a").join(lows.select(F.col("rid").alias("b"), F.col("low").alias("low_b")), "b")
+        return wide.select("a", "b", "low_a", "low_b").mapInArrow(count, "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose full shingle sets are alike enough."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-        near_enough = filter_of(wanted)
+        """Of distinct pairs (a, b), those whose full shingle sets are alike enough. The cells of a hot `a` are as many as there are tasks."""
+        cell = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(n_parts)).cast("int").alias("salt"), "b")
+        needs = cell.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("rid")).distinct().union(cell.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("rid")))
+        wanted = needs.select("rid").distinct().join(reps.select("rid", "doc_id", "n", "f1", "f2"), "rid")
+        near_enough = filter_of(wanted.select("doc_id"))
 
         def full(batches):
             for b in batches:
                 b = b.filter(pa.array(near_enough(b.column(0))))
-                texts = texts_of(b, "text")
+                texts = texts_of(b.column(1))
                 for i, j in A.chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
                     h, n = shingle_runs(texts[i:j], shingle_words)
-                    end = np.cumsum(n).tolist()
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[e - m : e].tobytes() for e, m in zip(end, n.tolist())], pa.binary())], names=["doc_id", "shingles"])
-
-        sets = docs.mapInArrow(full, "doc_id long, shingles binary")
-
-        def test(batches):
-            for b in batches:
-                ok = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                    ok.append(10000 * both >= percent * (len(x) + len(y) - both))
-                yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-        wide = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return wide.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long").distinct()
-
-    sizes = reps.select("rep", "n")
-
-    def could(pairs: DataFrame) -> DataFrame:
-        """Sets whose sizes alone rule the similarity out go."""
-        p = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        return p.where(10000 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    hubs = posts.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1")
-    met = posts.join(hubs, "token").where("rep > a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"))
+                    f1, f2 = fingerprints(h, n)
+                    parts = -(-n // PART)
+                    of = np.repeat(np.arange(len(n)), parts)
+                    nth = A.spread(np.zeros(len(n), np.int64), parts)
+                    begin = np.repeat(np.cumsum(n) - n, parts) + nth * PART
+                    size = np.minimum(PART, n[of] - nth * PART)
+                    raw = [h[s : s + m].tobytes() for s, m in zip(begin.tolist(), size.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(n[of], pa.int64()), pa.array(f1[of]), pa.array(f2[of]), pa.array(nth, pa.int32()), pa.array(raw, pa.binary())], names=["n", "f1", "f2", "part", "shingles"])
+
+        sets = docs.select("doc_id", "text").mapInArrow(full, "n long, f1 long, f2 long, part int, shingles binary")
+        named = sets.join(wanted.select("rid", "n", "f1", "f2"), ["n", "f1", "f2"]).select("rid", "n", "part", "shingles")
+        rows = needs.join(named, "rid").select("a", "salt", "role", "rid", "n", "part", "shingles")
+        return rows.repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", "role", "rid", "part").mapInArrow(compare(percent), "a long, b long")
+
+    hubs = posts.groupBy("token").agg(F.min(F.struct("rid", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("token", F.col("hub.rid").alias("a"), F.col("hub.n").alias("na"))
+    met = posts.join(hubs, "token").where((F.col("rid") > F.col("a")) & (10000 * F.least("n", "na") >= percent * F.greatest("n", "na"))).groupBy("a", F.col("rid").alias("b")).agg(F.count("*").alias("c"))
     best = met.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", (-F.col("a")).alias("a"))), asc=False), 1, HUBS).alias("x"))
     star = best.select("b", F.explode("x.a").alias("a")).select((-F.col("a")).alias("a"), "b")
-    star = stored(alike(could(star)), "star")
-    links = stored(confirmed(star.select("a", "b")), "confirmed")
+    star = stored(alike(star), "star")
+    links = stored(confirmed(star), "confirmed")
+    found = components(links, "a", "b")
+
+    labelled = posts.join(found, F.col("rid") == F.col("id"), "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("component"))
+    labelled = stored(labelled, "labelled")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    mixed = stored(mixed.select("token", "m", F.ceil(F.col("m") / CELL_MEMBERS).cast("int").alias("blocks")), "mixed")
+    members = mixed.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+    buckets = max(n_parts, -(-members // BUCKET_MEMBERS))
+    open_ = labelled.join(mixed.select("token", "blocks"), "token").groupBy("rid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list(F.struct("token", "blocks")).alias("t"))
+    open_ = open_.join(lows, "rid").select("rid", "component", "n", "low", "t.token", "t.blocks")
+    dealt = open_.mapInArrow(deal(A.aligned_keys(buckets)), "bucket int, payload binary").repartition(buckets, "bucket")
+    cross = dealt.mapInArrow(meet(coordinates, similarity, need, percent), "a long, b long").distinct()
+    cross = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
+    links = links.union(confirmed(cross))
     found = components(links, "a", "b")
 
-    labelled = posts.join(found, F.col("rep") == F.col("id"), "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "main")
-    open_ = labelled.join(mixed, "token").groupBy("rep").agg(F.first("component").alias("component"), F.collect_list("token").alias("tokens"))
-    open_ = open_.join(reps, "rep").select("rep", "component", "n", "sig", "tokens")
-    dealt = open_.mapInArrow(deal(keys), "bucket int, payload binary").repartition(n_parts, "bucket")
-    cross = dealt.mapInArrow(meet(coordinates, need, percent), "a long, b long")
-    cross = stored(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    more = confirmed(cross)
-    found = components(links.union(more), "a", "b")
-
-    rep_of = groups.select("n", "f1", "f2", F.col("rep"))
-    joined = sketches.join(rep_of, ["n", "f1", "f2"], "left").join(found, F.col("rep") == F.col("id"), "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # every set's component: the least id and the first row of all that it can reach
+    of = groups.join(found, F.col("rid") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rid"))
+    head = of.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("sets"))
+    facts = join_unskewed(of, head, "component", "sets").select("n", "f1", "f2", "copies", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
+    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
+    some = join_unskewed(sketches.where("n > 0").drop("sig", "low"), stored(facts, "facts"), ["n", "f1", "f2"], "copies").select(*cols, (F.col("row") == F.col("head")).alias("stays"), *names)
+    none = sketches.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*cols, F.lit(True).alias("stays"), *names)
+    return public(some.union(none), carry, names)

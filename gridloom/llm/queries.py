@@ -94,7 +94,7 @@ TOXIC = 0.7
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4).drop("stays")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_suffix_dedup, op3_html_extraction, op4_language_id, op5_substring_dedup, op6_warc, op7_exact_topk, op8_source_mixing, op9_toxicity, op10_minhash)}

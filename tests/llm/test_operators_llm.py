@@ -108,6 +108,49 @@ def test_minhash_of_nothing(spark):
     assert got(near_duplicates(spark.createDataFrame([(4, None), (2, ""), (9, "a"), (7, "A")], "doc_id long, text string")), "n_shingles", "component_id") == {4: (0, 4), 2: (0, 2), 9: (1, 7), 7: (1, 7)}
 
 
+def test_minhash_of_equal_and_null_ids_and_clashing_names(spark):
+    from gridloom.llm.minhash_dedup import near_duplicates
+
+    words = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(i) for i in range(60))
+    a, b, c = words(1), words(2), words(3)
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (None, c), (7, c + " z"), (8, c), (8, c), (None, "lone")]
+    df = spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, stays string, component_id long")
+    out = near_duplicates(df, 4, carry=("stays", "component_id"))
+    got = {r.component_id_in: (r.doc_id, r.component_id, r.kept, r.stays, r.stays_in) for r in out.collect()}
+    assert [got[k][1] for k in range(9)] == [1, 1, 1, 1, 7, 7, 7, 7, None]
+    assert [got[k][2] for k in range(9)] == [True, True, False, False, False, True, False, False, True]
+    assert [got[k][3] for k in range(9)] == [True, True, False, False, False, True, False, False, True]
+    assert all(x[4] == "s" for x in got.values())
+    same = near_duplicates(spark.createDataFrame([(4, a), (4, a), (4, a)], "doc_id long, text string")).collect()
+    assert sum(r.stays for r in same) == 1 and all(r.kept and r.component_id == 4 for r in same)
+
+
+def test_minhash_cells_give_every_pair_once():
+    from gridloom.llm import arrays as A, minhash_dedup as M
+
+    r = np.random.default_rng(3)
+    n, coordinates = 300, 192
+    base = r.integers(0, 1 << 32, (6, coordinates), dtype=np.uint64).astype(np.uint32)
+    sig = base[np.arange(n) % 6].copy()
+    spoil = r.random(sig.shape) < 0.12
+    sig[spoil] = r.integers(0, 1 << 32, int(spoil.sum()))
+    size = 90 + r.integers(0, 20, n)
+    need = 127
+    low = sig.astype(np.uint8)
+    want = {(i, j) for i in range(n) for j in range(i) if (low[i] == low[j]).sum() >= need and 10 * min(size[i], size[j]) >= 8 * max(size[i], size[j]) and (M.tokens_of(sig[i : i + 1])[0, :3] == M.tokens_of(sig[j : j + 1])[0, :3]).any()}
+    import pyarrow as pa
+
+    for blocks in (1, 3):
+        token = M.tokens_of(sig)[:, :3].astype(np.int64)
+        table = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(size), pa.array([x.tobytes() for x in low]), pa.array(token.tolist()), pa.array([[blocks] * 3] * n)], names=list("abcdef"))
+        sent = [x for b in M.deal(A.aligned_keys(4))([table.slice(0, 170), table.slice(170)]) for x in b.to_pylist()]
+        pairs = []
+        for k in {x["bucket"] for x in sent}:
+            mine = pa.RecordBatch.from_pylist([x for x in sent if x["bucket"] == k])
+            pairs += [(x["b"], x["a"]) for b in M.meet(coordinates, 0.8, need, 8000, 16, 32)([mine]) for x in b.to_pylist()]
+        assert set(pairs) == want and len(want) > 500
+
+
 def test_components_of_a_long_chain(spark):
     from gridloom.llm.components import components
 
