@@ -8,8 +8,10 @@ payloads the first is a response, the others are revisits that name it and carry
 Reading: the index is filtered first; then the byte ranges of the records wanted are sorted by file and offset, and ranges
 that (nearly) adjoin are read at once. Archives are opened through pyarrow's file systems, so any store that it knows works.
 
-Defined results: a null payload is empty; equal ids are separate records, told apart by their order in the archive; null
-urls are written as `urn:none` and read back as null; other columns are ignored.
+Defined results: every row is one record, whatever its id; a null payload is empty; rows of one payload whose id is the least
+are all responses (also where it comes twice, or all ids are null), the others, null ids among them, revisit it; null urls are
+written as `urn:none` and read back as null, and urls that no header line can hold (line breaks, blanks, none but `urn:none`)
+are quoted there and kept whole in a header of their own; payloads of any length are one record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
+from gridloom.llm.components import join_unskewed
+from gridloom.llm.files import file_system
 from gridloom.session import partitions, shared_path, ship, stored
 
 #: Ranges whose gap is at most so many bytes are read at once, up to so many bytes.
@@ -31,6 +35,8 @@ GAP, RUN = 64 << 10, 8 << 20
 INDEX = "file string, offset long, length long, url string, digest string, record_id string, record_type string, refers_to string, payload_bytes long"
 FIELDS = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64())])
 NO_URL = "urn:none"
+#: A header of ours: the URL as it was, in base 64, where a header line cannot hold it.
+EXACT_URL = "X-Exact-Target-URI"
 
 
 def digest_of(payload: bytes) -> str:
@@ -45,8 +51,11 @@ def record(record_id: str, url: str | None, payload: bytes, digest: str, refers_
     """One record; a revisit has the response's headers without the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + (payload if refers_to is None else b"")
-    target = NO_URL if url is None else re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url)
+    plain = url is not None and url != NO_URL and re.fullmatch(r"[!-~]+", url)
+    target = NO_URL if url is None else url if plain else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(record_id)}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    if url is not None and not plain:
+        head.append(f"{EXACT_URL}: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -63,7 +72,8 @@ def parse(raw: bytes) -> dict:
     name = lambda k: got[k][len("<urn:record:") : -1] or None if k in got else None
     if got["WARC-Type"] == "response" and digest_of(payload) != got["WARC-Payload-Digest"].removeprefix("sha1:"):
         raise ValueError(f"payload of {got['WARC-Record-ID']} does not have its digest")
-    return {"record_id": name("WARC-Record-ID"), "url": None if got["WARC-Target-URI"] == NO_URL else got["WARC-Target-URI"], "digest": got["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": got["WARC-Type"], "refers_to": name("WARC-Refers-To"), "payload_bytes": size, "payload": payload if got["WARC-Type"] == "response" else None}
+    url = base64.b64decode(got[EXACT_URL]).decode("utf-8", "surrogatepass") if EXACT_URL in got else None if got["WARC-Target-URI"] == NO_URL else got["WARC-Target-URI"]
+    return {"record_id": name("WARC-Record-ID"), "url": url, "digest": got["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": got["WARC-Type"], "refers_to": name("WARC-Refers-To"), "payload_bytes": size, "payload": payload if got["WARC-Type"] == "response" else None}
 
 
 def gzip_member(raw: bytes) -> bytes:
@@ -71,22 +81,20 @@ def gzip_member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def file_system(uri: str):
-    return pafs.FileSystem.from_uri(uri if re.match(r"^[a-z][a-z0-9+.-]*:", uri) else f"file://{uri}")
-
-
-def duplicates(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, refers_to of the records that are not the first of their payload."""
-    rows = pages.where(F.length(F.col("payload")) >= least_bytes).select("page_id", F.sha2("payload", 256).alias("h"))
-    first = rows.groupBy("h").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).where("most > refers_to").drop("most")
-    return rows.join(first, "h").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+def duplicates(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """page_id, h (the payload's SHA-256), refers_to of the ids that are not the least of their payload's."""
+    some = stored(rows.where(F.length("payload") >= least_bytes).select("page_id", "h"), "digests")
+    least = some.groupBy("h").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1 and refers_to is not null")
+    pairs = join_unskewed(some, stored(least, "repeated"), "h", "rows").distinct()
+    return pairs.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "h", "refers_to")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write archives below path; the index (also written, to path/index) of all records."""
     spark = ship(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.join(stored(duplicates(rows, least_bytes), "duplicates"), "page_id", "left").select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("h", F.sha2("payload", 256))
+    seen = stored(duplicates(rows, least_bytes), "duplicates").select(F.col("page_id").alias("same_id"), F.col("h").alias("same_h"), "refers_to")
+    rows = rows.join(seen, F.col("page_id").eqNullSafe(F.col("same_id")) & (F.col("h") == F.col("same_h")), "left").select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
 
     def write(batches):
         fs, base = file_system(path)
