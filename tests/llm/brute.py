@@ -113,11 +113,9 @@ def warc(pages):
 def topk(vectors, k=5):
     import math
 
-    rows = {i: [math.floor(256 * float(x)) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = {}
-    for q in rows:
-        if q % 50 == 0:
-            s = sorted(((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q))[:k]
-            for r, (x, i) in enumerate(s, 1):
-                out[q, r] = (i, -x)
-    return out
+    rows = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    scores = {}
+    for q, x in rows:
+        if q % 50 == 0:  # zip: a shorter vector counts as padded with zeros
+            scores.setdefault(q, []).extend((-sum(a * b for a, b in zip(x, v)), i) for i, v in rows if i != q)
+    return {(q, r): (i, -x) for q, s in scores.items() for r, (x, i) in enumerate(sorted(s)[:k], 1)}

@@ -281,12 +281,34 @@ def test_warc(spark):
     assert read_warc(write_warc(pages.limit(0), empty), empty).count() == 0
 
 
+def test_warc_of_clashing_ids_and_odd_urls(spark):
+    from gridloom.llm.warc import fresh_archive, read_warc, write_warc
+
+    def back(rows, least=0):
+        pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, refers_to int").repartition(2)
+        path = fresh_archive(pages)
+        return sorted(((r.record_id, r.url, r.record_type, r.refers_to, r.payload_bytes, None if r.payload is None else bytes(r.payload).decode()) for r in read_warc(write_warc(pages, path, least_bytes=least), path).collect()), key=str)
+
+    one = back([(5, "a", "A"), (5, "b", "B"), (3, "c", "A"), (2, "d", "B")])
+    assert one == sorted([("5", "a", "revisit", "3", 1, None), ("5", "b", "revisit", "2", 1, None), ("3", "c", "response", None, 1, "A"), ("2", "d", "response", None, 1, "B")], key=str)
+    two = back([(5, "a", "A"), (5, "b", "BB"), (3, "c", "A")])
+    assert two == sorted([("5", "a", "revisit", "3", 1, None), ("5", "b", "response", None, 2, "BB"), ("3", "c", "response", None, 1, "A")], key=str)
+    none = back([(None, "a", "A"), (4, "b", "A"), (None, "c", "C")])
+    assert none == sorted([(None, "a", "revisit", "4", 1, None), ("4", "b", "response", None, 1, "A"), (None, "c", "response", None, 1, "C")], key=str)
+    urls = ["http://a/\r\nX: y", "urn:none", "", "http://a/%0D", "http://ä b/", None, " x "]
+    assert sorted(str(r[1]) for r in back([(i, u, f"p{i}") for i, u in enumerate(urls)])) == sorted(map(str, urls))
+    big = "<p>" + "word " * 600_000
+    assert [r[4:] for r in back([(1, "u", big)])] == [(len(big), big)]
+    assert [r[2] for r in back([(1, "u", "abc"), (2, "u", "abc")], least=10)] == ["response"] * 2
+
+
 def test_topk(spark):
     from gridloom.llm.topk import top_inner_products
 
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=8) * (1 + i % 7)]) for i in range(230)] + [(300, [0.5] * 8), (301, [0.5] * 8), (302, [0.5] * 8)]
-    bad = [(400, None), (450, [float("nan")] * 8), (451, [None] + [1.0] * 7), (452, [float("inf")] * 8), (453, []), (454, [1.0])]
+    rows += [(453, []), (454, [1.0]), (455, [9.0, -9.0, 9.0]), (350, [3.0, 2.0]), (100, [0.25] * 8), (7, [50.0] * 8), (7, [50.0] * 8)]  # lengths that differ, and repeated ids
+    bad = [(400, None), (450, [float("nan")] * 8), (451, [None] + [1.0] * 7), (452, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
     out = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_inner_products(df, lambda v: v % 50 == 0).collect()}
     assert out == brute.topk(rows)
@@ -295,6 +317,42 @@ def test_topk(spark):
     blocks = top_inner_products(df, lambda v: v % 50 == 0, query_block=2)
     assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in blocks.collect()} == out
     assert top_inner_products(df.limit(0), lambda v: v % 50 == 0).count() == 0
+    assert top_inner_products(df, lambda v: v < 0).count() == 0
+
+
+def test_topk_over_many_ranges_and_steps(spark, monkeypatch):
+    from gridloom.llm import topk as T
+
+    for name, value in (("HEAD", 20), ("GROWTH", 3), ("CHUNK", 400), ("ROWS", 4), ("STEP", 8)):
+        monkeypatch.setattr(T, name, value)
+    rng = np.random.default_rng(2)
+    turn, c = np.linalg.qr(rng.normal(size=(8, 8)))[0], np.floor(rng.normal(size=(300, 8)) * rng.integers(1, 2000, (300, 1)))
+    q, ids = c[:40], rng.permutation(300)
+    want = [sorted(((-int(x @ y), i) for y, i in zip(c, ids) if i != j))[:5] for x, j in zip(q, ids)]
+    found: dict = {}
+    for a in range(0, 300, 90):
+        block = T.Candidates(ids[a : a + 90], c[a : a + 90], turn, 2)
+        floor = np.array([-sorted(found.get(j, []))[4][0] if len(found.get(j, [])) > 4 else -np.inf for j in ids[:40]], float)
+        for who, what, score in zip(*block.search(ids[:40], q, floor, turn, 5, 2)):
+            found.setdefault(who, []).append((-score, what))
+    assert [sorted(found[j])[:5] for j in ids[:40]] == want
+    rows = [(i, [float(x) for x in rng.normal(size=4) * (1 + i % 90)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert len(T.length_bounds(T.whole_vectors(df, "vec_id", "embedding", 256), 400)) > 1
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in T.top_inner_products(df, lambda v: v % 50 == 0, query_block=3).collect()} == brute.topk(rows)
+
+
+def test_topk_of_huge_numbers(spark):
+    from gridloom.llm.topk import top_inner_products
+
+    def of(*rows):
+        return {(r.query_id, r.vec_id): r.score for r in top_inner_products(spark.createDataFrame(list(rows), "vec_id long, embedding array<double>"), lambda v: v % 50 == 0).collect()}
+
+    big = 2.0**22 + 3 / 256
+    assert of((0, [big, 1.0]), (1, [big, -1.0]), (2, [-big, 2.0**21])) == {(0, 1): int(big * 256) ** 2 - 65536, (0, 2): -(int(big * 256) ** 2) + (1 << 29) * 256}
+    for rows in (((0, [1e300, 2.0]), (1, [1.0, 2.0])), ((0, [2.0**40]), (1, [2.0**40]))):
+        with pytest.raises(Exception, match="does not fit"):
+            of(*rows)
 
 
 def plain_targets(sizes, weights=(5, 2, 1), most=3.0):
