@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.llm import arrays as A
+from gridloom.llm.columns import private, public
 from gridloom.session import ship
 
 DOCS_PER_LANGUAGE, SAMPLE_BYTES = 80, 24_000
@@ -195,14 +196,12 @@ def models(key: str, samples: dict[str, bytes]) -> Models:
 def identify_languages(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (1 less half the ratio of the least bits to the next) of every row, and the columns carried."""
     spark = ship(docs.sparkSession)
-    names = list(dict.fromkeys((id_col, text_col, *carry)))
-    schema = "doc_id long, lang_pred string, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows, names, kinds = private(docs, id_col, text_col, carry)
     shared, key = spark.sparkContext.broadcast(samples), uuid.uuid4().hex
 
     def run(batches):
         for b in batches:
-            col = {c: b.column(i) for i, c in enumerate(names)}
-            lang, score = models(key, shared.value).predict(col[text_col].to_pylist())
-            yield pa.RecordBatch.from_arrays([col[id_col].cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *(col[c] for c in carry)], names=["doc_id", "lang_pred", "score", *carry])
+            lang, score = models(key, shared.value).predict(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], names=["doc_id", "lang_pred", "score", *names])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return public(rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + kinds), carry, names)

@@ -5,10 +5,13 @@ forms share evidence), adjacent pairs and pairs with one or two words between. E
 and an L1 penalty keeps most weights at zero; what is left is a small table of (hash, weight) that is broadcast.
 
 The model is fitted on a bounded sample of labelled rows: at most `per_class` of label 1 and `clean_ratio` times as many
-of label 0, chosen by a hash of the id, in one task. Every text is scored whole.
+of label 0, chosen by a hash of the id, and of these, in that order, those whose texts fit into `sample_bytes`; so the one
+task that fits it reads and holds a bounded sample. Every text is scored whole, however long.
 
-Defined results: null and wordless texts get the score of no features; if the usable labels lack one of the two classes,
-every score is 0; null labels and null ids are no training rows; repeated labels of an id count once, as the highest.
+Defined results: null and wordless texts get the score of no features; if the usable labels lack one of the two classes (or
+there are none, or no documents), every score is 0; null labels and null ids are no training rows; repeated labels of an id
+count once, as the highest; repeated documents are training rows each; rows with equal ids are scored each by itself; other
+columns are ignored unless named in `carry` (one named like a result comes out with `_in` behind its name).
 """
 
 from __future__ import annotations
@@ -18,16 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm import arrays as A
+from gridloom.llm.columns import private, public
 from gridloom.session import ship
 
 PER_CLASS, CLEAN_RATIO = 3000, 2
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.05
-#: Passes over the sample: as many as make so many updates, within the bounds. Small samples need more to be sure of what they show.
-UPDATES, LEAST_EPOCHS, MOST_EPOCHS = 120_000, 6, 60
+#: And bytes of their texts; a row that does not fit any more is no training row.
+SAMPLE_BYTES = 64 << 20
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.05
+#: Passes over the sample: as many as make so many updates, or the least. Small samples need more to be sure of what they show.
+UPDATES, LEAST_EPOCHS = 120_000, 6
 #: A feature is learned if so many training texts have it.
 MIN_TEXTS = 3
-#: And if twice the log likelihood ratio against having nothing to do with the label is so much (chance: about 1 in 2000).
-LEAST_RATIO = 12.0
+#: And if twice the log likelihood ratio against having nothing to do with the label is so much (chance: about 1 in 2000). Where it speaks for
+#: label 1, less will do, so that a word of three texts, all of label 1, is learned in a full sample (6.59): the L1 penalty selects among those.
+LEAST_RATIO, LEAST_RATIO_TOXIC = 12.0, 6.5
 #: Bits of the hash by which features are counted before they are screened.
 SLOT_BITS = 23
 STEMS = (4, 5, 6)
@@ -77,6 +84,12 @@ def ratio(n1: np.ndarray, n: np.ndarray, total1: float, total: float) -> np.ndar
     return 2 * (part(n1, n) + part(total1 - n1, np.maximum(total - n, 1e-9)))
 
 
+def says_something(n1: np.ndarray, n: np.ndarray, total1: float, total: float, slack: float = 1.0) -> np.ndarray:
+    """Whether features of n texts, n1 of label 1, differ from the rate of all texts beyond chance; less will do where label 1 is the commoner."""
+    least = np.where(n1 * total > n * total1, LEAST_RATIO_TOXIC, LEAST_RATIO)
+    return ratio(n1, n, total1, total) >= least * slack
+
+
 def telling(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Features of at least MIN_TEXTS texts whose share differs between the labels beyond chance, and each text's own of them.
 
@@ -90,7 +103,7 @@ def telling(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, list[np
         np.add.at(n1, at, labels[a + docs].astype(np.float32))
     busy = np.flatnonzero(n >= MIN_TEXTS)
     good = np.zeros(1 << SLOT_BITS, bool)
-    good[busy] = ratio(n1[busy].astype(float), n[busy].astype(float), labels.sum(), len(labels)) >= LEAST_RATIO / 2
+    good[busy] = says_something(n1[busy].astype(float), n[busy].astype(float), labels.sum(), len(labels), 0.5)
     del n, n1
     rows: list[np.ndarray] = []
     for a, b, keys, docs in distinct(texts):
@@ -103,7 +116,7 @@ def telling(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, list[np
     keys, at = np.unique(np.concatenate(rows), return_inverse=True)
     exact1 = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(keys))
     exact = np.bincount(at, minlength=len(keys)).astype(float)
-    vocabulary = keys[(exact >= MIN_TEXTS) & (ratio(exact1, exact, labels.sum(), len(labels)) >= LEAST_RATIO)]
+    vocabulary = keys[(exact >= MIN_TEXTS) & says_something(exact1, exact, labels.sum(), len(labels))]
     ids = []
     for k in rows:
         at = np.searchsorted(vocabulary, k)
@@ -125,7 +138,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, alpha
 
     penalty = np.full(len(vocabulary) + 1, l1)
     penalty[bias] = 0.0
-    for _ in range(epochs or max(LEAST_EPOCHS, min(MOST_EPOCHS, UPDATES // max(1, len(ids))))):
+    for _ in range(epochs or max(LEAST_EPOCHS, UPDATES // max(1, len(ids)))):
         for r in rng.permutation(len(ids)):
             i = np.append(ids[r], bias)
             w = weights(i, penalty[i])
@@ -163,26 +176,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, clean_ratio: int = CLEAN_RATIO) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, clean_ratio: int = CLEAN_RATIO, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model from the labelled rows given (the caller leaves held-out rows away); None without both classes."""
     ship(docs.sparkSession)
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("label"))
     by_hash = F.xxhash64("doc_id", F.lit("toxicity"))
     sample = usable.where("label = 1").orderBy(by_hash).limit(per_class).union(usable.where("label = 0").orderBy(by_hash).limit(per_class * clean_ratio))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by per_class
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").withColumn("h", by_hash)  # bounded by per_class
 
     def run(batches):
-        texts, marks = [], []
+        texts, marks, room = [], [], sample_bytes
         for b in batches:
-            texts += [x or b"" for x in b.column(1).to_pylist()]
-            marks += b.column(2).to_pylist()
+            for text, mark in zip(b.column(1), b.column(2)):
+                size = len(text.as_buffer()) if text.is_valid else 0
+                if size <= room:
+                    room -= size
+                    texts.append(text.as_py() or b"")
+                    marks.append(mark.as_py())
         y = np.array(marks)
         order = sorted(range(len(texts)), key=lambda i: (texts[i], marks[i]))
         if len({*marks}) == 2:
             keys, w, bias = fit([texts[i] for i in order], y[order])
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, np.uint64(0)).view(np.int64)), pa.array(np.append(w, bias)), pa.array([False] * len(w) + [True])], names=["key", "weight", "bias"])
 
-    found = rows.repartition(1).mapInArrow(run, "key long, weight double, bias boolean").collect()
+    found = rows.repartition(1).sortWithinPartitions("h", "label", F.length("text"), "text").mapInArrow(run, "key long, weight double, bias boolean").collect()
     if not found:
         return None
     keys = np.array([r.key for r in found if not r.bias], np.int64).view(np.uint64)
@@ -194,15 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score of every row, and the columns carried."""
     spark = ship(docs.sparkSession)
-    names = list(dict.fromkeys((id_col, text_col, *carry)))
-    schema = "doc_id long, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows, names, kinds = private(docs, id_col, text_col, carry)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            col = {c: b.column(i) for i, c in enumerate(names)}
-            texts = [x or b"" for x in col[text_col].cast(pa.binary()).to_pylist()]
+            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             scores = shared.value.score(texts) if shared.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([col[id_col].cast(pa.int64()), pa.array(scores), *(col[c] for c in carry)], names=["doc_id", "score", *carry])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), *b.columns[2:]], names=["doc_id", "score", *names])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return public(rows.mapInArrow(run, "doc_id long, score double" + kinds), carry, names)
