@@ -142,7 +142,7 @@ def test_minhash_cells_give_every_pair_once():
 
     for blocks in (1, 3):
         token = M.tokens_of(sig)[:, :3].astype(np.int64)
-        table = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(size), pa.array([x.tobytes() for x in low]), pa.array(token.tolist()), pa.array([[blocks] * 3] * n)], names=list("abcdef"))
+        table = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(size), pa.array([x.tobytes() for x in low]), pa.array([bytes(M.PARITY_BITS // 8)] * n), pa.array(token.tolist()), pa.array([[blocks] * 3] * n)], names=list("abcdefg"))
         sent = [x for b in M.deal(A.aligned_keys(4))([table.slice(0, 170), table.slice(170)]) for x in b.to_pylist()]
         pairs = []
         for k in {x["bucket"] for x in sent}:
@@ -151,6 +151,23 @@ def test_minhash_cells_give_every_pair_once():
         assert set(pairs) == want and len(want) > 500
 
 
+def test_parity_bitmaps_turn_away_no_pair_that_is_alike():
+    from gridloom.llm import minhash_dedup as M
+
+    r = np.random.default_rng(5)
+    turned = 0
+    for size in (1, 3, 10, 100, 900, 6000):
+        for _ in range(40):
+            a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate((a[r.random(len(a)) > r.random() / 2], r.integers(0, 1 << 63, int(r.integers(0, size // 3 + 1)), dtype=np.uint64))))
+            both, n = len(np.intersect1d(a, b)), np.array([len(a), len(b)])
+            bits = M.parities(np.concatenate((a, b)), n)
+            near = M.could_be_alike(bits[:1], bits[1:], np.array([n.sum()]), 8000)[0]
+            assert near or 100 * both < 80 * (n.sum() - both)
+            turned += not near
+    assert turned > 60
+
+
 def test_components_of_a_long_chain(spark):
     from gridloom.llm.components import components
 
@@ -192,6 +209,94 @@ def test_html_extraction(spark):
     assert out == {(i, f"Story {i} of its own.") for i in range(8)} | {(8, ""), (9, "only")}
 
 
+def test_html_markup_of_all_kinds():
+    import time
+
+    from gridloom.llm.html_extract import main_text
+
+    assert main_text("<p title=it's>one</p><p>two's</p>") == "one\n\ntwo's"
+    assert main_text("<p title='a > b' id=\"x>y\" data-x = z>one</p>") == "one"
+    assert main_text('<p title="never closed>one</p><p>two</p>') == "one\n\ntwo"
+    assert main_text("<div class='share-price-report'><p>The shares rose.</p></div>") == "The shares rose."
+    assert main_text("<article class='story search-results-of-the-expedition'><p>Found.</p></article>") == "Found."
+    assert main_text("one <a href=") == "one" and main_text("a <b") == "a" and main_text("a < b") == "a < b" and main_text("</") == "</"
+    assert main_text("a<!-- b") == "a" and main_text("a<?php x ?>b</>c") == "abc" and main_text("<p/>a<br/>b<img src=x>c") == "a bc"
+    assert main_text("<P CLASS=ad>no<P>yes<DIV HIDDEN>no</DIV>") == "yes"
+    words = "word " * 200_000
+    assert main_text(f"<article><p>{words}</article>") == words.strip()
+    began = time.time()
+    for bad in ("<a ", "<a b='", '<a b="', "<!--", "</a", "<head>", "<script>", "<p><b>", "<div>", "<a b=c ", "<p", "& ", "<table><tr><td>"):
+        main_text(bad * (400_000 // len(bad)))
+    assert time.time() - began < 60
+
+
+def plain_tree(pages, least_pages=5, least=0.2):
+    """Importance of a host's nodes from whole paths and texts: {path: larger entropy}, by the definition."""
+    import math
+    from collections import Counter
+    from xml.etree import ElementTree
+
+    shown, content = {}, {}
+    for page in pages:
+        here_shown, here_text = {}, {}
+
+        def walk(e, path):
+            mine = [t for t in [e.text] if t]
+            here_shown.setdefault(path, []).append(tuple(c.tag + c.get("class", "") for c in e))
+            for c in e:
+                mine += walk(c, f"{path}>{c.tag}.{c.get('class', '')}")
+            if mine:
+                here_text.setdefault(path, []).extend(mine)
+            return mine
+
+        walk(ElementTree.fromstring(page), "body")
+        for p, t in here_text.items():
+            content.setdefault(p, []).append(tuple(t))
+            shown.setdefault(p, []).append(tuple(here_shown[p]))
+
+    def entropy(x):
+        n = len(x)
+        return -sum(c / n * math.log(c / n) for c in Counter(x).values()) / math.log(n) if n >= least_pages else 1.0
+
+    return {p: max(entropy(shown[p]), entropy(content[p])) for p in content}
+
+
+def test_html_style_tree_against_a_plain_one(spark):
+    from gridloom.llm.html_extract import extract_main_text
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    pages = []
+    for i in range(40):
+        parts = [f"<div class='q{k}'>" + "".join(f"<p>{word()}</p>" for _ in range(r.randint(1, 4))) + "</div>" for k in "ab"]  # differ
+        parts.insert(1, "<div class='legal'><p>Same words</p><p>on all pages</p></div>")
+        parts.append(f"<div class='date'><p>{'Monday' if i % 13 else word()}</p></div>")  # nearly the same on all pages
+        parts.append(f"<div class='mood'><p>{r.choice(['good', 'bad', 'fair', 'ill'])}</p></div>")
+        if i < 3:
+            parts.append("<div class='rare'><p>Same but rare</p></div>")
+        pages.append("<body>" + "".join(parts) + "</body>")
+    worth = plain_tree(pages)
+    low = {p for p, h in worth.items() if h < 0.2}
+    assert {"body>div.legal", "body>div.date"} <= low and not {"body>div.qa", "body>div.mood", "body>div.rare"} & low
+    from xml.etree import ElementTree
+
+    def text(page):
+        out = []
+        for d in ElementTree.fromstring(page):
+            path = f"body>div.{d.get('class')}"
+            out += [p.text for p in d if path not in low and f"{path}>p." not in low]
+        return "\n\n".join(out)
+
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, host string").repartition(3)
+    assert {x.page_id: x.text for x in extract_main_text(df).collect()} == {i: text(p) for i, p in enumerate(pages)}
+    # a name is not believed where the branch holds most of the text of the host's pages; comments are
+    rows = [(i, "https://w.example/", f"<div class='widget'><p>{' '.join(word() for _ in range(30))}</p></div><div class='promo'><p>{word()}</p></div>", "x") for i in range(6)]
+    rows += [(10 + i, "https://c.example/", f"<p>{word()}</p><div class='comments'><p>{' '.join(word() for _ in range(30))}</p></div>", "x") for i in range(6)]
+    got = {x.page_id: x.text for x in extract_main_text(spark.createDataFrame(rows, df.schema)).collect()}
+    assert all(len(got[i].split()) == 30 for i in range(6)) and all(len(got[10 + i].split()) == 1 for i in range(6))
+    assert extract_main_text(df.limit(0)).count() == 0
+
+
 def test_html_names_count_as_a_whole():
     from gridloom.llm.html_extract import main_text
 
