@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def private(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], str]:
-    """(doc_id long, text, and the columns carried under names of their own), these names, and their part of a schema."""
-    names = [f"carried_{i}" for i in range(len(carry))]
-    out = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)))
+    """(doc_id long, text, and the columns carried under names of their own), these names, and their part of a schema. The text travels once."""
+    names = ["text" if c == text_col else f"carried_{i}" for i, c in enumerate(carry)]
+    out = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names) if n != "text"))
     return out, names, "".join(f", {n} {out.schema[n].dataType.simpleString()}" for n in names)
 
 

@@ -5,27 +5,32 @@ digit nor a letter to a blank, words parted by single blanks. The automaton hold
 between blanks, so it matches whole words only, and each text is scanned once. Matches come with the words that they
 cover and, through the words' own offsets, with byte ranges of the original text.
 
-The items go to the workers with a checked size: sets of more than `most_bytes` are split into blocks of items, each
-block with an automaton and a scan of its own, and the blocks' findings are merged per document.
-
-Defined results: null and wordless texts have no words and no hits; an item of fewer words than a window is one window;
-a wordless item never occurs; rows of the documents with equal ids are kept apart; other columns go on untouched if named in `carry`.
+The items go to the workers with a checked size: sets of more than `most_bytes` are split into blocks of items, which take
+their turns: the driver reads and sends one at a time, a pass over the documents with that block's automaton stores the hits,
+and the hits of all passes are merged per document. (An item is in one block: a single item may exceed the bound.)
+
+Defined results: null and wordless texts have no words and no hits, nor has anything without items; an item of fewer words
+than a window is one window; a wordless item never occurs; items with equal ids count as one; texts of any length are scanned
+whole; rows of the documents with equal or null ids are kept apart; other columns are ignored unless named in `carry` (one
+named like a result comes out with `_in` behind its name).
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm import arrays as A
-from gridloom.session import ship
+from gridloom.llm.columns import private, public
+from gridloom.session import ship, stored
 
-#: Benchmark text in one automaton (its size grows with it), and the items read to the driver at a time.
-MOST_BYTES = 8 << 20
+#: Benchmark text in one automaton, and read to the driver at a time. The automaton of a megabyte takes about 0.45 GB in each worker.
+MOST_BYTES = 512 << 10
 
 _built: dict[str, object] = {}
 
@@ -103,45 +108,71 @@ def original_ranges(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[in
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int):
-    """The items as (id as string, text), in blocks of bounded size."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
+    """The items as (id as string, text), in blocks of bounded size; one at a time is read to the driver."""
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // most_bytes) if total else 0
+    n = -(-total // most_bytes)
     for k in range(n):
-        yield [(r.i, bytes(r.t)) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).collect()]
+        yield [(r.i, bytes(r.t)) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()]
 
 
 PAIRS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = "n_words long, word_spans array<struct<start:long,end:long>>, byte_spans array<struct<start:long,end:long>>, items array<string>"
+NAMES = ["n_words", "word_spans", "byte_spans", "items"]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id, n_words, word_spans, byte_spans (of the original text), items (ids found, sorted as strings) of each document, and the columns carried."""
-    spark = ship(docs.sparkSession)
-    own = "doc_id long, n_words long, word_spans array<struct<start:long,end:long>>, byte_spans array<struct<start:long,end:long>>, items array<string>"
-    schema = own + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    blocks = [spark.sparkContext.broadcast(items) for items in item_blocks(benchmark, item_col, item_text_col, most_bytes)]
+def findings(texts: list[bytes | None], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> list[pa.Array]:
+    as_pairs = lambda rows: pa.array([[{"start": s, "end": e} for s, e in r] for r in rows], PAIRS)
+    origin = [original_ranges(t, s) if s else [] for t, s in zip(texts, spans)]
+    return [pa.array([len(words_in(t)) for t in texts], pa.int64()), as_pairs(spans), as_pairs(origin), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+
+
+def scanning(shared, window: int, only_hits: bool, names: list[str]):
+    """For mapInArrow over (first column, text, ...): the first column, what is found in the text, and the columns named."""
     key = uuid.uuid4().hex
 
     def run(batches):
         for b in batches:
-            col = {c: b.column(i) for i, c in enumerate(names)}
-            texts = col[text_col].cast(pa.binary()).to_pylist()
-            n_words, spans, found = np.zeros(len(texts), np.int64), [[] for _ in texts], [set() for _ in texts]
-            for k, block in enumerate(blocks):  # a block's automaton is built once in a process, unless there are several
-                auto = automaton(f"{key}-{k}", block.value, window)
-                for i, t in enumerate(texts):
-                    n_words[i], s, who = scan(t, auto)
-                    spans[i] += s
-                    found[i].update(block.value[w][0] for w in who)
-            if not blocks:
-                n_words[:] = [len(words_in(t)) for t in texts]
-            merged = [merge(s) if len(blocks) > 1 else s for s in spans]
-            origin = [original_ranges(t, s) if s else [] for t, s in zip(texts, merged)]
-            as_pairs = lambda rows: pa.array([[{"start": s, "end": e} for s, e in r] for r in rows], PAIRS)
-            yield pa.RecordBatch.from_arrays([col[id_col].cast(pa.int64()), pa.array(n_words), as_pairs(merged), as_pairs(origin), pa.array([sorted(x) for x in found], pa.list_(pa.string())), *(col[c] for c in carry)], names=["doc_id", "n_words", "word_spans", "byte_spans", "items", *carry])
-
-    names = list(dict.fromkeys((id_col, text_col, *carry)))
-    return docs.select(*names).mapInArrow(run, schema)
+            auto = automaton(key, shared.value, window)
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            got = [scan(t, auto) for t in texts]
+            if only_hits:
+                at = [i for i, x in enumerate(got) if x[1]]
+                b, texts, got = b.take(pa.array(at, pa.int64())), [texts[i] for i in at], [got[i] for i in at]
+            cols = findings(texts, [x[1] for x in got], [{shared.value[w][0] for w in x[2]} for x in got])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *(b.column(c) for c in names)], names=[b.schema.names[0], *NAMES, *names])
+
+    return run
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (), most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, n_words, word_spans, byte_spans (of the original text), items (ids found, sorted as strings) of each document, and the columns carried."""
+    spark = ship(docs.sparkSession)
+    rows, names, kinds = private(docs, id_col, text_col, carry)
+    blocks = item_blocks(benchmark, item_col, item_text_col, most_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = rows.mapInArrow(scanning(spark.sparkContext.broadcast(first), window, False, names), f"doc_id long, {FOUND}{kinds}")
+        return public(out, carry, names)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
+    hits = None
+    for block in chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)
+        part = stored(rows.select("row", "text").mapInArrow(scanning(shared, window, True, []), f"row long, {FOUND}"), "hits")
+        shared.unpersist()
+        hits = part if hits is None else hits.union(part)
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    hits = hits.groupBy("row").agg(flat("word_spans"), flat("items"))
+
+    def combine(batches):
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            spans = [merge([(s["start"], s["end"]) for s in x or ()]) for x in b.column(b.schema.get_field_index("word_spans")).to_pylist()]
+            items = [set(x or ()) for x in b.column(b.schema.get_field_index("items")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *findings(texts, spans, items), *(b.column(c) for c in names)], names=["doc_id", *NAMES, *names])
+
+    out = rows.join(hits, "row", "left").select("doc_id", "text", "word_spans", "items", *(c for c in names if c != "text")).mapInArrow(combine, f"doc_id long, {FOUND}{kinds}")
+    return public(out, carry, names)
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

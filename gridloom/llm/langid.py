@@ -202,6 +202,6 @@ def identify_languages(docs: DataFrame, samples: dict[str, bytes], id_col: str =
     def run(batches):
         for b in batches:
             lang, score = models(key, shared.value).predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], names=["doc_id", "lang_pred", "score", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *(b.column(c) for c in names)], names=["doc_id", "lang_pred", "score", *names])
 
     return public(rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + kinds), carry, names)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gridloom.llm import repeats as R
+from gridloom.llm.columns import private, public
 
 ANCHOR_WORDS = 8
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -24,9 +25,9 @@ RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:lo
 
 def dedup_substrings(df: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed word ranges) and kept_text (kept words, one space between) of every document."""
-    plan = R.Plan(min_words, min(ANCHOR_WORDS, min_words), True, True, id_col, text_col)
-    df = df.select(*dict.fromkeys((id_col, text_col, *carry)))
-    schema = RESULT + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    plan = R.Plan(min_words, min(ANCHOR_WORDS, min_words), True, True, "doc_id", "text")
+    df, names, kinds = private(df, id_col, text_col, carry)
+    schema = RESULT + kinds
 
     def finish(docs: R.Docs, piece, covered) -> pa.Table:
         a, n = (piece[0], len(piece[-1])) if piece else (0, 0)
@@ -50,8 +51,8 @@ def dedup_substrings(df: DataFrame, min_words: int = 20, id_col: str = "doc_id",
                 kept.append(b" ".join([raw[b[i] : e[i]] for i in at]).decode("utf-8", "replace"))
         offsets = pa.array(np.concatenate(([0], np.cumsum(n_spans))).astype(np.int32))
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (lo, hi)], names=["start", "end"])
-        own = {"doc_id": docs.table[id_col].slice(a, n).cast(pa.int64()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.ListArray.from_arrays(offsets, flat), "kept_text": pa.array(kept, pa.string())}
-        cols = [*own.values(), *(docs.table[c].slice(a, n) for c in carry)]
-        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[*own, *carry])
+        own = {"doc_id": docs.table["doc_id"].slice(a, n), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.ListArray.from_arrays(offsets, flat), "kept_text": pa.array(kept, pa.string())}
+        cols = [*own.values(), *(docs.table[c].slice(a, n) for c in names)]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[*own, *names])
 
-    return R.find_repeats(df, plan, finish, schema)
+    return public(R.find_repeats(df, plan, finish, schema), carry, names)

@@ -218,6 +218,6 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
         for b in batches:
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             scores = shared.value.score(texts) if shared.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), *b.columns[2:]], names=["doc_id", "score", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), *(b.column(c) for c in names)], names=["doc_id", "score", *names])
 
     return public(rows.mapInArrow(run, "doc_id long, score double" + kinds), carry, names)

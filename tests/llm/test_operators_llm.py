@@ -187,6 +187,7 @@ def test_decontamination(spark, docs):
     cols = ("n_words", F.aggregate("word_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.size("items"), F.sha2(F.array_join("items", ","), 256), F.size("word_spans") > 0)
     assert got(find_contamination(frame(spark, docs), bench), *cols) == want
     assert got(find_contamination(frame(spark, docs), bench, most_bytes=60), *cols) == want  # several automata
+    assert find_contamination(frame(spark, docs).limit(0), bench).count() == 0
     assert got(find_contamination(frame(spark, docs), bench.limit(0)), F.size("items")) == {d: (0,) for d, _ in docs}
     for r in find_contamination(frame(spark, docs), bench, carry=("text",)).collect():
         raw = (r.text or "").encode()
@@ -194,6 +195,57 @@ def test_decontamination(spark, docs):
             assert words(raw[b.start : b.end].decode()) == words(r.text)[w.start : w.end]
 
 
+CLASHES = ("score", "lang_pred", "n_words", "blk", "carried_0", "items", "kept_text", "row")
+
+
+def clashing(spark, rows):
+    """(id, text) rows with columns named like those that operators make or use."""
+    return spark.createDataFrame([(i, t, *(f"{c}-{k}" for c in CLASHES)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+
+
+def test_columns_carried_never_clash(spark):
+    from gridloom.llm.decontaminate import find_contamination
+    from gridloom.llm.langid import identify_languages
+    from gridloom.llm.minhash_dedup import near_duplicates
+    from gridloom.llm.substring_dedup import dedup_substrings
+    from gridloom.llm.toxicity import score_toxicity
+
+    rows = [(1, "one two three"), (1, "one two three"), (None, "four five"), (2, None), (3, "")]
+    docs = clashing(spark, rows)
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    for run in (lambda d, c: find_contamination(d, bench, carry=c), lambda d, c: find_contamination(d, bench.union(bench.selectExpr("2L", "'five'")), carry=c, most_bytes=5), lambda d, c: identify_languages(d, {"en": b"one two"}, carry=c), lambda d, c: score_toxicity(d, None, carry=c), lambda d, c: dedup_substrings(d, carry=c), lambda d, c: near_duplicates(d, carry=c)):
+        out = run(docs, CLASHES)
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        got = out.toPandas()
+        for c in CLASHES:
+            back = f"{c}_in" if f"{c}_in" in got else c
+            assert sorted(got[back]) == [f"{c}-{k}" for k in range(5)], (c, out.columns)
+        assert run(docs.limit(0), CLASHES).count() == 0
+
+
+def test_language_id_and_toxicity_of_odd_rows(spark):
+    from gridloom.llm.langid import identify_languages, train
+    from gridloom.llm.toxicity import score_toxicity, train as fit
+
+    long = "ba lo mi " * 100_000
+    docs = spark.createDataFrame([(1, "ba lo mi ba lo", "aa"), (1, "ba lo mi ba lo", "aa"), (2, "sch ung keit", "bb"), (3, long, None), (4, "", None), (None, "sch ung", None), (5, "12", None)], "doc_id long, text string, lang string")
+    out = identify_languages(docs, train(docs)).collect()
+    assert sorted((str(r.doc_id), r.lang_pred) for r in out) == [("1", "aa"), ("1", "aa"), ("2", "bb"), ("3", "aa"), ("4", "und"), ("5", "und"), ("None", "bb")]
+    same = {"xx": b"abc abd", "yy": b"abc abd"}  # a tie goes to the first
+    assert {r.lang_pred for r in identify_languages(docs.where("doc_id = 2"), same).collect()} == {"xx"}
+    assert identify_languages(docs.limit(0), same).count() == 0
+    rows = [(i, "scum words" if i % 4 == 0 else f"good words {i % 5}") for i in range(80)]
+    texts = spark.createDataFrame(rows + rows[:8] + [(500, None), (None, "scum"), (501, "good " * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(1, 0), (None, 1), (900, 1)], "doc_id long, toxic int")
+    model = fit(texts, labels)
+    scored = [(r.doc_id, r.score) for r in score_toxicity(texts, model).collect()]
+    assert len(scored) == 91 and all((s >= 0.7) == (i is None or i % 4 == 0) for i, s in scored if i is None or i < 80)
+    again = fit(texts.repartition(7), labels.repartition(3))
+    assert (again.keys == model.keys).all() and np.allclose(again.weights, model.weights)
+    assert fit(texts, labels, sample_bytes=5) is None and fit(texts.limit(0), labels) is None and fit(texts, labels.limit(0)) is None
+    assert score_toxicity(texts.limit(0), model).count() == 0
+
+
 PAGE = "<html><head><title>t</title></head><body><nav><a>Menu {0}</a></nav><div class='cookie-notice'>We use {0}</div>{1}<div id=comments><p>nice {0}</p></div><footer>&copy; site {0}</footer></body></html>"
 
 
