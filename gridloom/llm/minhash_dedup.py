@@ -4,7 +4,8 @@ Every document posts its signature's (coordinate, value) pairs. Two documents al
 the coordinates (the threshold lies SIGMAS standard deviations below the mean at the similarity asked for), so each pair
 has a common value among either one's `coordinates - matches + 1` rarest: only those prefixes are posted, and documents
 with fewer than `matches` shared values are skipped. Collisions are then counted over whole signatures, and pairs that
-reach `matches` are confirmed on the full shingle sets.
+reach `matches` are confirmed on the full shingle sets. Before a pair becomes a row, parity bitmaps of the two sets are held
+against each other: they differ in at most as many bits as the sets do in shingles, so this turns away no pair that is alike.
 
 Equal sets collapse to one representative, which has a number of its own, before anything else. Links are wanted for
 components, so pairs are not all listed: first each document meets the least member of each of its postings; then, in
@@ -41,8 +42,8 @@ COORDINATES = 192
 HUBS = 3
 #: Members of a posting that meet in one cell, and members in one bucket of cells.
 CELL_MEMBERS, BUCKET_MEMBERS = 8192, 100_000
-#: Shingles of a set that travel in one row.
-PART = 512
+#: Shingles of a set that travel in one row, and bits of a parity bitmap.
+PART, PARITY_BITS = 512, 2048
 #: Bits of the filter that keeps most documents without a candidate from being shuffled: 8 for each wanted document, within these bounds. The joins after it are exact.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 #: Signatures travel with 8 bits a coordinate, so an early common token may be a mistaken one; that so many come before all true ones does not happen (1 in 10**8).
@@ -101,6 +102,19 @@ def sketch(h: np.ndarray, n: np.ndarray, coordinates: int) -> np.ndarray:
     return sig
 
 
+def parities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bitmaps of each set (uint64 words): whether the shingles that fall on a bit are odd in number."""
+    at = np.repeat(np.arange(len(n)), n) * PARITY_BITS + (h >> np.uint64(40)).astype(np.int64) % PARITY_BITS
+    odd = np.bincount(at, minlength=len(n) * PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(n), PARITY_BITS), axis=1).view(np.uint64)
+
+
+def could_be_alike(x: np.ndarray, y: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """By the parity bitmaps of pairs of sets and the sum of their sizes: false only if the sets are not alike enough."""
+    differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return differ * (10000 + percent) <= size * (10000 - percent)
+
+
 def tokens_of(sig: np.ndarray) -> np.ndarray:
     """40 bits of a hash of coordinate and value; the last byte is the coordinate."""
     at = np.arange(sig.shape[1], dtype=np.uint64)
@@ -123,7 +137,7 @@ HEAD = ("rid", "component", "n")
 
 
 def deal(keys: np.ndarray):
-    """For mapInArrow over (rid, component, n, low, tokens, blocks): each document once to every bucket that one of its cells falls into."""
+    """For mapInArrow over (rid, component, n, low, odd, tokens, blocks): each document once to every bucket that one of its cells falls into."""
 
     def run(batches):
         for b in batches:
@@ -131,9 +145,10 @@ def deal(keys: np.ndarray):
                 continue
             head = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
             sig = rows_of(b.column(3), np.uint8)
-            token = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            blocks = b.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(b.num_rows), b.column(4).value_lengths().to_numpy(zero_copy_only=False))
+            odd = rows_of(b.column(4), np.uint64)
+            token = b.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            blocks = b.column(6).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), b.column(5).value_lengths().to_numpy(zero_copy_only=False))
             mask = np.zeros(sig.shape, bool)
             mask[doc, token & 255] = True
             bits = np.packbits(mask, axis=1)
@@ -147,7 +162,7 @@ def deal(keys: np.ndarray):
             for s, n in zip(starts, A.group_lengths(starts, len(order))):
                 rows = order[s : s + n]
                 mine, local = np.unique(doc[rows], return_inverse=True)
-                raw = [np.array([len(mine), n], np.int64), *(h[mine] for h in head), sig[mine], bits[mine], token[rows], low[rows] << 32 | high[rows], local.astype(np.int64), upper[rows]]
+                raw = [np.array([len(mine), n], np.int64), *(h[mine] for h in head), sig[mine], bits[mine], odd[mine], token[rows], low[rows] << 32 | high[rows], local.astype(np.int64), upper[rows]]
                 out.append((int(keys[bucket[rows[0]]]), A.squeeze(b"".join(x.tobytes() for x in raw))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "payload"])
 
@@ -159,10 +174,10 @@ def undeal(payload: bytes, coordinates: int):
     raw = A.unsqueeze(payload)
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
     at, out = 16, []
-    for kind, count in (*[(np.int64, n)] * 3, (np.uint8, n * coordinates), (np.uint8, n * -(-coordinates // 8)), *[(np.int64, m)] * 3, (np.bool_, m)):
+    for kind, count in (*[(np.int64, n)] * 3, (np.uint8, n * coordinates), (np.uint8, n * -(-coordinates // 8)), (np.uint64, n * PARITY_BITS // 64), *[(np.int64, m)] * 3, (np.bool_, m)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
-    out[3:5] = [x.reshape(n, -1) for x in out[3:5]]
+    out[3:6] = [x.reshape(n, -1) for x in out[3:6]]
     return out
 
 
@@ -185,12 +200,12 @@ def meet(coordinates: int, similarity: float, need: int, percent: int, rows: int
         for b in batches:
             for p in b.column(1).to_pylist():
                 got = undeal(p, coordinates)
-                got[7] = got[7] + base
+                got[8] = got[8] + base
                 base += len(got[0])
                 parts.append(got)
         if not parts:
             return
-        rid, component, size, sig, bits, token, cell, owner, upper = (np.concatenate(c) for c in zip(*parts))
+        rid, component, size, sig, bits, odd, token, cell, owner, upper = (np.concatenate(c) for c in zip(*parts))
         del parts
         planes = planes_of(sig)
         order = np.lexsort((size[owner], upper, cell, token))
@@ -221,6 +236,8 @@ def meet(coordinates: int, similarity: float, need: int, percent: int, rows: int
                     u, v = np.nonzero(ok)
                     for k in range(0, len(u), 1 << 14):
                         p, q = x[u[k : k + (1 << 14)]], y[v[k : k + (1 << 14)]]
+                        near = could_be_alike(odd[p], odd[q], size[p] + size[q], percent)
+                        p, q = p[near], q[near]
                         same = sig[p] == sig[q]
                         hit = np.flatnonzero((same.sum(1) >= need) & (10000 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])))
                         if not len(hit):
@@ -313,13 +330,13 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
                 h, n = shingle_runs(texts[i:j], shingle_words)
                 sig = sketch(h, n, coordinates)
                 binary = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
-                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *map(pa.array, fingerprints(h, n)), binary(sig), binary(sig.astype(np.uint8))]
-                yield pa.RecordBatch.from_arrays([*cols, *(b.column(k + 2).slice(i, j - i) for k in range(len(carry)))], names=["doc_id", "n", "f1", "f2", "sig", "low", *names])
+                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *map(pa.array, fingerprints(h, n)), binary(sig), binary(parities(h, n))]
+                yield pa.RecordBatch.from_arrays([*cols, *(b.column(c).slice(i, j - i) for c in names)], names=["doc_id", "n", "f1", "f2", "sig", "odd", *names])
 
-    sketches = stored(docs.mapInArrow(base, "doc_id long, n long, f1 long, f2 long, sig binary, low binary" + kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    sketches = stored(docs.mapInArrow(base, "doc_id long, n long, f1 long, f2 long, sig binary, odd binary" + kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     groups = stored(sketches.where("n > 0").groupBy("n", "f1", "f2").agg(first.alias("first"), F.count("*").alias("copies")), "sets").withColumn("rid", F.col("first.row"))
-    reps = stored(sketches.join(groups.select("rid"), F.col("row") == F.col("rid"), "left_semi").select(F.col("row").alias("rid"), "doc_id", "n", "f1", "f2", "sig", "low"), "representatives")
+    reps = stored(sketches.join(groups.select("rid"), F.col("row") == F.col("rid"), "left_semi").select(F.col("row").alias("rid"), "doc_id", "n", "f1", "f2", "sig", "odd"), "representatives")
 
     def post(batches):
         for b in batches:
@@ -357,19 +374,27 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
     listed = counted.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")).where(F.size("all") >= need)
     listed = listed.join(reps.select("rid", "n"), "rid")
     posts = stored(listed.select("rid", "n", F.explode(F.slice("all", 1, F.greatest(F.lit(0), prefix - (coordinates - F.size("all"))))).alias("p")).select("rid", "n", F.col("p.token").alias("token")), "posts")
-    lows = reps.select("rid", "low")
+
+    def shorten(batches):
+        for b in batches:
+            low = [r.tobytes() for r in rows_of(b.column(2), np.uint32).astype(np.uint8)] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low, pa.binary()), b.column(3)], names=["rid", "n", "low", "odd"])
+
+    lows = stored(reps.select("rid", "n", "sig", "odd").mapInArrow(shorten, "rid long, n long, low binary, odd binary"), "short")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose signatures agree often enough."""
+        """Of pairs (a, b), those whose signatures agree often enough and whose bitmaps are near enough."""
 
         def count(batches):
             for b in batches:
                 if b.num_rows:
-                    same = (rows_of(b.column(2), np.uint8) == rows_of(b.column(3), np.uint8)).sum(1)
-                    yield b.select([0, 1]).filter(pa.array(same >= need))
+                    size = sum(b.column(i).to_numpy(zero_copy_only=False) for i in (2, 5))
+                    same = (rows_of(b.column(3), np.uint8) == rows_of(b.column(6), np.uint8)).sum(1)
+                    near = could_be_alike(rows_of(b.column(4), np.uint64), rows_of(b.column(7), np.uint64), size, percent)
+                    yield b.select([0, 1]).filter(pa.array((same >= need) & near))
 
-        wide = pairs.join(lows.select(F.col("rid").alias("a"), F.col("low").alias("low_a")), "a").join(lows.select(F.col("rid").alias("b"), F.col("low").alias("low_b")), "b")
-        return wide.select("a", "b", "low_a", "low_b").mapInArrow(count, "a long, b long")
+        side = lambda x: lows.select(F.col("rid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "odd")))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "low_a", "odd_a", "n_b", "low_b", "odd_b").mapInArrow(count, "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose full shingle sets are alike enough. The cells of a hot `a` are as many as there are tasks."""
@@ -413,7 +438,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
     members = mixed.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
     buckets = max(n_parts, -(-members // BUCKET_MEMBERS))
     open_ = labelled.join(mixed.select("token", "blocks"), "token").groupBy("rid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list(F.struct("token", "blocks")).alias("t"))
-    open_ = open_.join(lows, "rid").select("rid", "component", "n", "low", "t.token", "t.blocks")
+    open_ = open_.join(lows.drop("n"), "rid").select("rid", "component", "n", "low", "odd", "t.token", "t.blocks")
     dealt = open_.mapInArrow(deal(A.aligned_keys(buckets)), "bucket int, payload binary").repartition(buckets, "bucket")
     cross = dealt.mapInArrow(meet(coordinates, similarity, need, percent), "a long, b long").distinct()
     cross = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
@@ -425,6 +450,6 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
     head = of.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("sets"))
     facts = join_unskewed(of, head, "component", "sets").select("n", "f1", "f2", "copies", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head"))
     cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
-    some = join_unskewed(sketches.where("n > 0").drop("sig", "low"), stored(facts, "facts"), ["n", "f1", "f2"], "copies").select(*cols, (F.col("row") == F.col("head")).alias("stays"), *names)
+    some = join_unskewed(sketches.where("n > 0").drop("sig", "odd"), stored(facts, "facts"), ["n", "f1", "f2"], "copies").select(*cols, (F.col("row") == F.col("head")).alias("stays"), *names)
     none = sketches.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*cols, F.lit(True).alias("stays"), *names)
     return public(some.union(none), carry, names)
