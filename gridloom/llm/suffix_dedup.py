@@ -20,7 +20,7 @@ from gridloom.llm import repeats as R
 
 #: Bytes of an anchor. Longer ones are contested less often; shorter ones are fewer.
 ANCHOR_BYTES = 24
-#: Sampled suffixes for each bucket (the sample is bounded by it and the number of buckets), and documents that give them.
+#: Sampled suffixes for each bucket (about so many of them reach the driver for each, whatever the input), and documents that give them.
 PER_BUCKET, SAMPLE_DOCS = 64, 2000
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -31,18 +31,21 @@ def sampled_splitters(df: DataFrame, plan: R.Plan, n: int) -> list[np.ndarray] |
     """n - 1 suffix starts at most that part the sampled suffixes evenly; None if there is nothing to sample."""
     if n < 2:
         return None
-    every = max(1, df.count() // max(SAMPLE_DOCS, n))
+    n_docs, n_bytes = df.agg(F.count("*"), F.sum(F.octet_length(plan.text_col))).first()
+    every = max(1, n_docs // max(SAMPLE_DOCS, n))
     some = df.where(F.pmod(F.xxhash64(plan.id_col, F.lit("splitters")), F.lit(every)) == 0)
-    most = PER_BUCKET * n
+    # about 2 / (t - k + 2) of all bytes are anchors; each partition gives its share of the sample and no more
+    anchors = max(1.0, 2 * (n_bytes or 0) / every / (plan.t - plan.k + 2))
+    below = np.uint64(min(1.0, PER_BUCKET * n / anchors) * float((1 << 64) - 1025))
 
     def sample(batches):
         for b in batches:
             found = R.find(R.in_order(pa.Table.from_batches([b]), plan), plan)
             cols = [*found.lead, found.cover]
-            rank = np.argsort(A.mix(found.cover), kind="stable")[: max(64, most * len(found.at) // max(1, len(found.at)))]
-            yield pa.RecordBatch.from_pydict({"rank": A.mix(found.cover)[rank].view(np.int64), "row": pa.array([b"".join(int(w[i]).to_bytes(8, "little") for w in cols) for i in rank], pa.binary())})
+            at = np.flatnonzero(A.mix(found.cover) <= below)
+            yield pa.RecordBatch.from_pydict({"row": pa.array([b"".join(int(w[i]).to_bytes(8, "little") for w in cols) for i in at], pa.binary())})
 
-    rows = some.select(plan.id_col, plan.text_col).mapInArrow(sample, "rank long, row binary").orderBy("rank").limit(most).select("row").collect()
+    rows = some.select(plan.id_col, plan.text_col).mapInArrow(sample, "row binary").collect()
     if not rows:
         return None
     words = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.uint64).reshape(len(rows), -1)
