@@ -6,8 +6,10 @@ a pointer into the sample (the logarithm of its size) and a length; the sum esti
 whatever the size of its sample. The automata are transition tables over the bytes that occur, so thousands of text
 segments walk them at once in NumPy; a segment's last phrase is counted by the segment's end.
 
-The sample: at most `docs_per_language` labelled rows of each language, cut to `sample_bytes` of normalised text. Every
-language keeps its own, however little or much the others have; with equal sizes the bits are in the order of the phrases.
+The sample: of at most `docs_per_language` labelled rows of each language, chosen by a hash of the id, those whose normalised
+texts fit whole into `sample_bytes` one after another (if none does, the beginning of one). Every language keeps its own,
+however little or much the others have; with equal sizes the bits are in the order of the phrases. What the driver reads and
+sends grows with the number of languages, and with nothing else.
 
 Defined results: null texts and those without a letter are `und` with score 0; without labelled text everything is `und`;
 with one language everything with a letter is that one; ties go to the language first by code point.
@@ -175,14 +177,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def clean(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([normal(t)[: sample_bytes // 4] for t in b.column(2).to_pylist()], pa.binary())], names=["lang", "h", "text"])
+            texts = [normal(t) for t in b.column(2).to_pylist()]
+            whole = [len(t) <= sample_bytes for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whole), pa.array([t[:sample_bytes] for t in texts], pa.binary())], names=["lang", "h", "whole", "text"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id").select("lang", "h", "text")  # docs_per_language ids of each language
     gathered: dict[str, list] = {}
-    for r in rows.mapInArrow(clean, "lang string, h long, text binary").collect():
-        gathered.setdefault(r.lang, []).append((r.h, bytes(r.text)))
-    texts = {k: b" ".join(t for _, t in sorted(v) if t) for k, v in gathered.items()}
-    return {k: v[: max(sample_bytes, 1)] for k, v in texts.items() if v}
+    for r in rows.mapInArrow(clean, "lang string, h long, whole boolean, text binary").collect():
+        gathered.setdefault(r.lang, []).append((not r.whole, r.h, bytes(r.text)))
+    return {k: v for k, v in ((k, fitting(sorted(x), sample_bytes)) for k, x in gathered.items()) if v}
+
+
+def fitting(texts: list[tuple[bool, int, bytes]], room: int) -> bytes:
+    """The texts that fit into so many bytes one after another, each whole, in the given order; if not even one does, the beginning of the first."""
+    out = b""
+    for too_long, _, t in texts:
+        if t and (len(out) + len(t) + 1 <= room or not out):
+            out = out + b" " + t if out else t
+    return out
 
 
 def models(key: str, samples: dict[str, bytes]) -> Models:

@@ -19,31 +19,45 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm import arrays as A
+from gridloom.llm.components import join_unskewed
 from gridloom.session import partitions, ship, stored
 
 #: Documents of a leaf, and leaves that meet in one group of the tree. Results hang on these and the rows, not on the cluster.
 LEAF_ROWS, FAN_IN = 16384, 16
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source, source_size, target. sizes: one row per source. Capped sources' excess is shared again by weight until none is above."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8")))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("w"), "rank")
-    # full at the level L: a source gets min(cap, w * L); sources fill up in the order of cap / w, so L follows from running sums
-    s = sizes.select("source", "source_size", rank.alias("rank"), w.alias("w")).withColumn("cap", F.col("source_size") * float(most))
-    whole = Window.partitionBy()
-    s = s.withColumn("budget", F.sum("source_size").over(whole) * float(share))
-    s = s.withColumn("before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("open_w", F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", (F.col("budget") - F.col("before")) / F.col("open_w"))
-    s = s.withColumn("pos", F.row_number().over(by_ratio))
-    # the first source in that order whose cap its level does not reach sets the level for itself and all after it
-    s = s.withColumn("final", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("pos", "level"))).over(whole)["level"])
-    return s.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("w") * F.col("final")), F.col("cap")).alias("target"))
+def ranked(sources: DataFrame, n: int) -> DataFrame:
+    """Sources with `rank`, from 0, by code point and null last. Ranges of sources are numbered side by side and then moved up by what comes before."""
+    order = [F.col("source").isNull(), F.encode("source", "UTF-8")]
+    parts = sources.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = stored(parts.withColumn("at", F.monotonically_increasing_id()), "sources")
+    part, nth = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r.part, r.c) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("c")).collect())  # a row for each of n parts
+    before, moved = 0, []
+    for k, c in sizes:
+        moved.append((k, before))
+        before += c
+    offsets = sources.sparkSession.createDataFrame(moved, "part long, before long")
+    return rows.withColumn("part", part).join(F.broadcast(offsets), "part").select("source", "source_size", "rows", (nth + F.col("before")).alias("rank"))
+
+
+def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float, n: int) -> DataFrame:
+    """source, source_size, rows, target. sources: one row each, with source_size and rows. Excess above a source's cap goes to the
+    others by weight, again and again until none is above: each turn is one sum over the sources, and only adds sources to the full ones."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = stored(ranked(sources, n).withColumn("w", w).withColumn("cap", F.col("source_size") * float(most)), "caps")
+    budget = (s.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        got = s.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("given"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        if got.n == n_full or not got.open:
+            break
+        n_full, level = got.n, (budget - (got.given or 0.0)) / got.open
+    return s.select("source", "source_size", "rows", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def draw(seed: int, doc: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -119,11 +133,11 @@ def mix_sources(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     spark = ship(df.sparkSession)
     n = partitions(spark)
     docs = stored(df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.regexp_count(text_col, F.lit("[^ \\x09-\\x0D]+")), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source")), "sizes")
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stored(source_targets(sums, weights, share, most), "targets")
-    # a source's figures reach its documents; a table of sources is small next to its documents, but is not assumed to fit a broadcast
+    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    key = lambda df: df.withColumn("no_source", F.col("source").isNull()).withColumn("key", F.coalesce("source", F.lit("")))
+    targets = key(stored(source_targets(sums, weights, share, most, n), "targets")).drop("source")
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    rows = docs.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.size", "d.source", "t.source_size", "t.target", copies.alias("c"))
+    rows = join_unskewed(key(docs), targets, ["no_source", "key"], "rows").select("doc_id", "size", "source", "source_size", "target", copies.alias("c"))
     rows = rows.select("doc_id", "size", "source", "source_size", "target", F.floor("c").alias("whole"), (F.col("c") - F.floor("c")).alias("p"))
     leaves = FAN_IN ** max(0, math.ceil(math.log(max(1, docs.count()) / LEAF_ROWS, FAN_IN)))
     done: DataFrame | None = None

@@ -195,6 +195,26 @@ def test_decontamination(spark, docs):
             assert words(raw[b.start : b.end].decode()) == words(r.text)[w.start : w.end]
 
 
+def test_mixing_of_many_sources_and_odd_rows(spark):
+    from gridloom.llm.mixing import mix_sources
+
+    r = random.Random(7)
+    names = [f"h{r.randrange(10**6):06}.example" for _ in range(90)] + ["é", "Z", "", None]
+    rows = [(i, "w " * (k % 9 * 7 + 1), s) for k, s in enumerate(names) for i in (k, k, 1000 + k)]  # repeated rows, equal sizes
+    rows += [(None, "a b", "h"), (5000, None, "empty"), (5001, " \t", "empty"), (5002, "long " * 200_000, "Z")]
+    df = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, source string, target int, rank int")
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    out = mix_sources(df).collect()
+    target = plain_targets(size)
+    assert len(out) == len(rows) and all(x.target == pytest.approx(target[x.source]) and x.source_size == size[x.source] for x in out)
+    assert all(x.taken == x.size * x.copies and 0 <= x.copies <= 3 for x in out)
+    assert sum(x.taken for x in out if x.source == "empty") == 0
+    again = mix_sources(df.repartition(3)).collect()
+    assert sorted((str(x.doc_id), str(x.source), x.size, x.taken) for x in again) == sorted((str(x.doc_id), str(x.source), x.size, x.taken) for x in out)
+
+
 CLASHES = ("score", "lang_pred", "n_words", "blk", "carried_0", "items", "kept_text", "row")
 
 
