@@ -39,11 +39,12 @@ def in_states(releases: DataFrame, states: tuple[str, ...] = STATES) -> DataFram
 
 
 def rollup(releases: DataFrame, year: int, states: tuple[str, ...] = STATES) -> DataFrame:
-    """One row per facility; the first row names it. Grams are held: they count as a chemical of 0 pounds."""
+    """One row per facility; the first row names it, of rows with equal ordinals the least by all that names it. Grams are held: they count as a chemical of 0 pounds."""
     rows = in_states(releases, states).where("lat is not null and lon is not null")
     key = F.coalesce(F.nullif("frs", F.lit("")), F.nullif("trifd", F.lit("")), F.format_string("%.5f,%.5f", "lat", "lon"))
     lb = F.when(F.col("held"), F.lit(0.0)).otherwise(F.coalesce("onsite", F.lit(0.0)))
-    first = F.min_by(F.struct("frs", "trifd", "name", "lat", "lon", "state"), "ordinal").alias("f")
+    about = F.struct("frs", "trifd", "name", "lat", "lon", "state")
+    first = F.min_by(about, F.struct("ordinal", *(f"{c}" for c in ("frs", "trifd", "name", "lat", "lon", "state")))).alias("f")  # equal ordinals: the least row
     g = rows.withColumn("key", key).groupBy("key").agg(first, F.sum(lb).alias("on_site_release_lb"), F.count("*").alias("n_chem"))
     return g.select("key", "f.*", "on_site_release_lb", "n_chem", F.lit(year).alias("year"))
 

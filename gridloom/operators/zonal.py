@@ -64,6 +64,28 @@ def require_unshaded_majority(cells: DataFrame, full_grid: bool, zone: str = "zo
 
 
 def require_different(a: DataFrame, b: DataFrame, what: str) -> None:
-    """Two bands that must not be equal."""
-    if a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty():
+    """Two bands (row, col, v) that must not be equal: one cell that differs will do."""
+    there = a.withColumnRenamed("v", "_a").join(b.withColumnRenamed("v", "_b"), ["row", "col"], "full")
+    if there.where(~F.col("_a").eqNullSafe(F.col("_b"))).limit(1).isEmpty():
         raise GateError(f"{what} are equal")
+
+
+def type_counts(features: DataFrame) -> DataFrame:
+    """ftype, n of features by the property that says their type (empty if it is missing)."""
+    kind = F.coalesce(F.element_at("props", "ftype"), F.element_at("props", "FTYPE"), F.lit(""))
+    return features.groupBy(kind.alias("ftype")).agg(F.count("*").alias("n"))
+
+
+def require_undefined_empty(cells: DataFrame, scored: DataFrame, bands: tuple[str, ...], hand: str = "hand") -> None:
+    """Cells without a height above drainage must have no score."""
+    undefined = cells.where(F.col(hand).isNull() | F.isnan(hand)).select("row", "col")
+    filled = scored.where(F.coalesce(*bands).isNotNull()).select("row", "col")
+    if not undefined.join(filled, ["row", "col"], "left_semi").limit(1).isEmpty():
+        raise GateError("cells without a height above drainage were given a score")
+
+
+def require_unchanged(before: DataFrame, after: DataFrame, band: str) -> None:
+    """Calibration must leave the raw scores as they were."""
+    pair = before.select("row", "col", F.col(band).cast("float").alias("_a")).join(after.select("row", "col", F.col(band).cast("float").alias("_b")), ["row", "col"])
+    if not pair.where(~F.col("_a").eqNullSafe(F.col("_b"))).limit(1).isEmpty():
+        raise GateError(f"{band} was overwritten")

@@ -76,8 +76,13 @@ class GridSpec:
         ids = spark.range(self.width * self.height).withColumnRenamed("id", "cell_id")
         return ids.select("cell_id", F.floor(F.col("cell_id") / self.width).cast("int").alias("row"), (F.col("cell_id") % self.width).cast("int").alias("col"))
 
-    def synthetic_band(self, spark: SparkSession) -> DataFrame:
-        return self.cells(spark).withColumn("band", (F.col("row") + F.col("col")) % 101)
+    def synthetic_band(self, spark: SparkSession, inside: DataFrame | None = None) -> DataFrame:
+        """A made-up band; if inside (row, col) is given, nodata beyond it."""
+        band = self.cells(spark).withColumn("band", (F.col("row") + F.col("col")) % 101)
+        if inside is None:
+            return band
+        known = inside.select("row", "col").distinct().withColumn("_in", F.lit(True))
+        return band.join(known, ["row", "col"], "left").withColumn("band", F.when(F.col("_in"), F.col("band")).otherwise(NODATA["nlcd"])).drop("_in")
 
 
 def fingerprint_column(crs, width, height, transform) -> F.Column:

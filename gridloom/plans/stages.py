@@ -24,8 +24,15 @@ ZONE_KEYS = {"zone": ("fld_zone", "FLD_ZONE"), "subtype": ("zone_subty", "ZONE_S
 
 
 def base_report(stage: str, unit: dict, grid: GridSpec, **more) -> dict:
-    laws.require(laws.claim_flags(), "claims")
-    return {"stage": stage, "gate": "pass", "huc8": unit["huc8"], "huc_name": unit["name"], "states": unit["states"], "vector_crs": unit["crs"], "grid_crs": grid.crs, "grid_shape": [grid.height, grid.width], "grid_kind": grid.kind, "grid_sha256": grid.fingerprint(), **more}
+    report = {"stage": stage, "gate": "pass", "huc8": unit["huc8"], "huc_name": unit["name"], "states": unit["states"], "vector_crs": unit["crs"], "grid_crs": grid.crs, "grid_shape": [grid.height, grid.width], "grid_kind": grid.kind, "grid_sha256": grid.fingerprint(), **more}
+    laws.require(laws.unit_lock(unit["huc8"]), "unit")
+    laws.require(laws.claim_flags(report), "claims")
+    return report
+
+
+def full(grid: GridSpec) -> bool:
+    """Whether a grid is of the size of a whole unit and not a window."""
+    return grid.width >= 1000 and grid.height >= 1000
 
 
 def fill(polygons: DataFrame, grid: GridSpec, value: str, order: str) -> DataFrame:
@@ -40,11 +47,15 @@ def prop(*names: str):
     return F.coalesce(*[F.element_at("props", n) for n in names])
 
 
+def passed(report: dict) -> bool:
+    return report.get("gate") == "pass"
+
+
 def run_stage_0(spark: SparkSession, unit_path: str, grid: GridSpec, out: str, wkid: int | None = None) -> dict:
     _, unit = load_unit(spark, unit_path, wkid)
     if grid.kind != "fixture":
         grid.validate()
-    laws.require(laws.stage_gate("0", "0", grid.kind), "stages")
+    laws.require(laws.stage_gate("0", "0", laws.Facts(grid.kind)), "stages")
     report = base_report("0", unit, grid)
     write_report(spark, report, out)
     return report
@@ -53,7 +64,7 @@ def run_stage_0(spark: SparkSession, unit_path: str, grid: GridSpec, out: str, w
 def run_stage_a(spark: SparkSession, unit_path: str, grid: GridSpec, zones: DataFrame, out: str, samples: DataFrame | None = None, wkid: int | None = None) -> dict:
     """zones: ordinal, props, rings of flood zones, all of them. samples: key, lon, lat, zone_class that the bands must show."""
     grid.validate().require_live()
-    laws.require(laws.stage_gate("0", "A", grid.kind), "stages")
+    laws.require(laws.stage_gate("0", "A", laws.Facts(grid.kind)), "stages")
     unit, about = load_unit(spark, unit_path, wkid)
     code = S.classify_zone(prop(*ZONE_KEYS["zone"]), prop(*ZONE_KEYS["subtype"]), prop(*ZONE_KEYS["sfha"]))
     rank = F.array_position(F.array(*[F.lit(z) for z in (S.UNMAPPED, *S.PAINT_ORDER)]), code)
@@ -63,8 +74,9 @@ def run_stage_a(spark: SparkSession, unit_path: str, grid: GridSpec, zones: Data
     write_cells(cells.withColumn("sfha", S.sfha_band(F.col("zone"))), f"{out}/zones", grid)
     cells = read_cells(spark, f"{out}/zones")
     zonal.require_both_classes(zonal.require_floodway_in_sfha(cells))
-    zonal.require_unshaded_majority(cells, grid.width >= 1000 and grid.height >= 1000)
+    zonal.require_unshaded_majority(cells, full(grid))
     if samples is not None:
+        laws.require_samples([(r.key, r.lon, r.lat, r.zone_class) for r in samples.select("key", "lon", "lat", "zone_class").collect()])  # a few named points
         x, y = S.albers(F.col("lon"), F.col("lat"))
         row, col = S.cell_of(x, y, grid.transform)
         at = samples.select("key", "zone_class", row.alias("row"), col.alias("col")).join(cells, ["row", "col"], "left")
@@ -79,7 +91,7 @@ def run_stage_b(spark: SparkSession, grid: GridSpec, unit: dict, elevation: Data
     """elevation: row, col, z. Features carry ordinal, props (with ftype) and rings."""
     laws.require_paths(list(paths), REFUSED_PATHS)
     laws.require_report(stage_a, "A", unit["huc8"], grid.validate().require_live().fingerprint())
-    laws.require(laws.stage_gate("A", "B", grid.kind, stage_a["unshaded_x_ok"], True), "stages")
+    laws.require(laws.stage_gate("A", "B", laws.Facts(grid.kind, stage_a["unshaded_x_ok"], passed(stage_a))), "stages")
     kind = prop("ftype", "FTYPE").cast("int")
     size = (grid.height, grid.width, grid.transform)
 
@@ -107,7 +119,10 @@ def run_stage_b(spark: SparkSession, grid: GridSpec, unit: dict, elevation: Data
     bands = c.where("valid").select("row", "col", *[F.col(b).cast("float").alias(b) for b in ("hand", "slope", "twi", "dist_flowline", "dist_waterbody")])
     write_cells(bands, f"{out}/bands", grid)
     n = c.agg(F.count_if("valid").alias("n_interior"), F.count_if("stream").alias("n_stream"), F.count_if(F.col("valid") & F.col("hand").isNull()).alias("n_hand_undefined"), F.count_if(F.col("valid") & (F.col("slope") < S.SLOPE_FLOOR)).alias("n_slope_floored"), F.min(F.when(F.col("valid"), F.col("z"))).alias("dem_min"), F.max(F.when(F.col("valid"), F.col("z"))).alias("dem_max")).first().asDict()
-    report = base_report("B", unit, grid, **n)
+    if full(grid):
+        laws.require_area_pin(n["n_interior"] * 900 / 1e6)
+    types = {str(r.ftype): r.n for r in zonal.type_counts(flowlines).collect()}
+    report = base_report("B", unit, grid, **n, flowline_ftype_counts=types)
     write_report(spark, report, out)
     return report
 
@@ -117,7 +132,7 @@ def run_stage_c(spark: SparkSession, grid: GridSpec, unit: dict, blocks: DataFra
     print_ = grid.validate().require_live().fingerprint()
     laws.require_report(stage_a, "A", unit["huc8"], print_)
     laws.require_report(stage_b, "B", unit["huc8"], print_)
-    laws.require(laws.stage_gate("B", "C", grid.kind, stage_a["unshaded_x_ok"], True, True), "stages")
+    laws.require(laws.stage_gate("B", "C", laws.Facts(grid.kind, stage_a["unshaded_x_ok"], passed(stage_a), passed(stage_b))), "stages")
     legend = [r.huc10 for r in blocks.select("ordinal", prop("huc10", "HUC10").alias("huc10")).orderBy("ordinal").collect()]
     laws.require([f"block_{x}" for x in legend if not str(x or "").startswith(unit["huc8"])], "blocks")
     numbered = blocks.withColumn("block_id", (F.col("ordinal") + 1).cast("int"))
@@ -146,9 +161,11 @@ def run_stage_c(spark: SparkSession, grid: GridSpec, unit: dict, blocks: DataFra
     name, ap_cal = learning.choose_calibration(raw, ap_nested, ap_pooled)
     chosen = {"nested": nested, "pooled": pooled}[name]
     zonal.require_different(chosen.select("row", "col", F.col("p").cast("double").alias("v")), chosen.select("row", "col", F.col("p_cal").alias("v")), "raw and calibrated scores")
+    zonal.require_undefined_empty(c, chosen, ("p", "p_cal"))
     write_cells(chosen.select("row", "col", "p", F.col("p_cal").cast("float").alias("p_cal")), f"{out}/p", grid)
+    zonal.require_unchanged(scored, read_cells(spark, f"{out}/p"), "p")
     cal = learning.brier(chosen, "p_cal").first()
-    report = base_report("C", unit, grid, p_definition=laws.P_DEFINITION, probabilities_calibrated=True, calibration=name, ap_raw=raw, ap_nested=ap_nested, ap_pooled=ap_pooled, ap_calibrated=ap_cal, ap_hand=ap(scored.withColumn("_h", -F.col("hand")), "_h"), prevalence=m.prevalence, brier_raw=m.brier, brier_constant=m.brier_constant, brier_calibrated=cal.brier, calibrated_in_sample=name == "pooled", folds=folds, blocks=legend)
+    report = base_report("C", unit, grid, p_definition=laws.P_DEFINITION, probabilities_calibrated=True, calibration=name, ap_raw=raw, ap_nested=ap_nested, ap_pooled=ap_pooled, ap_calibrated=ap_cal, ap_hand=ap(scored.withColumn("_h", -F.col("hand")), "_h"), prevalence=m.prevalence, brier_raw=m.brier, brier_constant=m.brier_constant, brier_calibrated=cal.brier, calibrated_in_sample=name == "pooled", folds=folds, blocks=legend, upstream={"A": stage_a["gate"], "B": stage_b["gate"], "unshaded_x_ok": stage_a["unshaded_x_ok"]})
     write_report(spark, report, out)
     return report
 
@@ -157,7 +174,8 @@ def run_stage_d(spark: SparkSession, grid: GridSpec, unit: dict, unit_polygons:
     """sites: facilities of one year (see facilities.rollup), clipped here to the unit."""
     laws.require_report(stage_c, "C", unit["huc8"], grid.fingerprint())
     require_same_grid(stage_c["grid_sha256"], grid.fingerprint())
-    laws.require(laws.stage_gate("C", "D", grid.kind, True, True, True, bool(stage_c.get("probabilities_calibrated")), True), "stages")
+    before = stage_c.get("upstream") or {}
+    laws.require(laws.stage_gate("C", "D", laws.Facts(grid.kind, bool(before.get("unshaded_x_ok")), before.get("A") == "pass", before.get("B") == "pass", bool(stage_c.get("probabilities_calibrated")), True)), "stages")
     edges = vector.edges_of(unit_polygons.withColumn("feature", F.col("ordinal")))
     here = vector.points_in_polygons(facilities.refuse_names(sites, BANNED_NAMES), edges, ["key"], "lon", "lat")
     x, y = S.albers(F.col("lon"), F.col("lat"))

@@ -155,10 +155,10 @@ def test_tiles_remain(spark):
 
 
 def test_laws():
-    assert laws.stage_gate("0", "B") == ["stage_skip", "advance_on_fixture_grid", "advance_without_unshaded_x", "advance_without_stage_a"]
-    assert laws.stage_gate("0", "A", G.LIVE_KIND) == [] and laws.stage_gate("Q", "A") == ["unknown_stage"]
-    assert laws.stage_gate("C", "D", G.LIVE_KIND, True, True, True) == ["sample_p_before_calibration"]
-    assert laws.claim_flags(unmapped_risk=True) == ["unmapped_risk"] and laws.unit_lock(laws.REFUSED_UNIT) == ["parent_unit"]
+    assert laws.stage_gate("0", "B") == ["stage_skip", "advance_on_fixture_template", "advance_without_firm_unshaded_x", "advance_without_stage_a"]
+    assert laws.stage_gate("0", "A", laws.Facts(G.LIVE_KIND)) == [] and laws.stage_gate("Q", "A") == ["unknown_stage"]
+    assert laws.stage_gate("C", "D", laws.Facts(G.LIVE_KIND, True, True, True)) == ["sample_p_before_isotonic"] == laws.stage_gate("B", "B", laws.Facts(G.LIVE_KIND, True, True, samples_p=True))
+    assert laws.claim_flags({"note": "Unmapped risk", "p_definition": "other"}) == ["p_as_100yr_exceedance", "unmapped_risk"] and laws.claim_flags({}) == [] and laws.unit_lock(laws.REFUSED_UNIT) == ["parent_unit"]
     for bad in (lambda: laws.require_unit("", "IN", None), lambda: laws.require_unit(laws.UNIT, "OH", None), lambda: laws.require_unit(laws.UNIT, "IN", 3.0), lambda: laws.require_report({"stage": "A", "gate": "fail"}, "A"), lambda: laws.require_all_features("zone = 'X'"), lambda: laws.require_overlay_report({})):
         with pytest.raises(GateError):
             bad()
@@ -168,7 +168,7 @@ def test_laws():
 
 def test_claims(spark):
     d = spark.createDataFrame([("100-year exceedance — yes",), (None,), ("clean",), ("Fgf llc",)], "t string")
-    assert [r[0] for r in d.select(claims.scan(F.col("t"), claims.BANNED_NAMES)).collect()] == [["p_as_100yr", "em_dash"], [], [], ["banned_name"]]
+    assert [r[0] for r in d.select(claims.scan(F.col("t"), claims.BANNED_NAMES)).collect()] == [["p_as_100yr", "em_dash"], [], [], ["indy_plant_copy"]]
     assert claims.scan_text("100-year exceedance — yes") == ["p_as_100yr", "em_dash"]
 
 
