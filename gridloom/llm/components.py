@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.session import stored
+from gridloom.session import discard, stored
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     e = stored(e, "links")
     seen = _state(e)
     while seen[0]:
-        e = stored(_small(_large(e)), "links")
+        before, e = e, stored(_small(_large(e)), "links")
+        discard(before)
         now = _state(e)
         if now == seen:
             break
