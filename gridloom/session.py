@@ -44,6 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more: a round's table, after the next one's is written."""
+    spark = df.sparkSession
+    ours = f"{shared_dir(spark).rstrip('/')}/gridloom/".split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(ours):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Tasks of a shuffle; the one knob that sizes blocks and buckets."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

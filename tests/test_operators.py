@@ -1,6 +1,7 @@
 """Operators on small grids whose results are known by hand."""
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,30 @@ def test_distance_to_every_stream_is_brute_forces(spark):
     want = np.sqrt(((c["row"].to_numpy()[:, None] - m["row"].to_numpy()) ** 2 + (c["col"].to_numpy()[:, None] - m["col"].to_numpy()) ** 2).min(1)) * 30
     got = {r.cell_id: r.distance for r in Q.QUERIES["edt_stream_all"](spark, d).collect()}
     assert [got[i] for i in c["cell_id"]] == pytest.approx(list(want), abs=1e-5)
+
+
+def test_flow_refuses_circles_and_discards_rounds(spark):
+    from gridloom.session import discard, stored
+
+    rows = [(0, 1), (1, 2), (2, 0), (3, 2), (4, None)]
+    c = spark.createDataFrame([(a, b, 1.0, True, False) for a, b in rows], "cell_id long, down_id long, z double, valid boolean, stream boolean")
+    for f in (flow.flow_accumulation, flow.height_above_drainage):
+        with pytest.raises(GateError):
+            f(c)
+    chain = spark.createDataFrame([(i, i + 1 if i < 36 else None, True) for i in range(37)] + [(99, 500, True)], "cell_id long, down_id long, valid boolean")
+    assert {r.cell_id: r.acc for r in flow.flow_accumulation(chain).collect()} == {i: i for i in range(37)} | {99: 0}
+    one = stored(chain, "once")
+    (folder,) = {f.rsplit("/", 1)[0] for f in one.inputFiles()}
+    assert Path(folder.split(":", 1)[1].replace("//", "")).exists()
+    discard(one)
+    assert not Path(folder.split(":", 1)[1].replace("//", "")).exists()
+
+
+def test_depressions_are_flooded_on_from_tile_to_tile(spark):
+    import random
+
+    r = random.Random(5)
+    z = [[r.choice([1.0, 5.0, 9.0]) + r.random() for _ in range(23)] for _ in range(17)]
+    whole = as_grid(flow.fill_depressions(cells_of(spark, z)), "filled", 17, 23)
+    for tile in (3, 8):
+        assert as_grid(flow.fill_depressions(cells_of(spark, z), tile=tile), "filled", 17, 23) == whole
