@@ -62,3 +62,30 @@ def test_run(spark, world):
     out = {r.doc_id: r for r in P.run(spark, d).collect()}
     assert 150 < len(out) < 210 and not any(i < 240 and toxic[i] for i in out)
     assert all(r.taken <= 3 * r.size for r in out.values())
+
+
+def test_stages_of_odd_tables(spark, world, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns named like those of operators; and empty tables."""
+    import corpus_pipeline as P
+
+    d, rows, *_ = world
+    long = " ".join(f"w{i}" for i in range(60_000))
+    lone = "some words that stand in no other text of this table at all"
+    odd = [(900, None), (901, ""), (902, long), (903, lone), (903, lone), (903, lone + " but here and in some more words"), (None, "a text without an id stays too"), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, blk int, row long, kept_text string, Component_ID string, items string"
+    docs = spark.createDataFrame([(i, t, "en", None if k % 2 else "s", len(t or ""), f"x{k}", k, k, "t", "c", "i") for k, (i, t) in enumerate(odd)], schema)
+    extra = lambda df: sorted((r.score, r.blk, r.row, r.kept_text, r.Component_ID, r.items) for r in df.collect())
+    all_ = extra(docs)
+    stage = dict(P.STAGES)
+    for name in ("toxicity", "substring_dedup", "decontamination"):
+        out = stage[name](spark, docs, d)
+        assert out.columns == docs.columns, name
+        gone = {"toxicity": 0, "decontamination": 0, "substring_dedup": 0}[name]
+        assert extra(out) == all_ and len(all_) - gone == 8, name
+    out = stage["near_dedup"](spark, docs, d)
+    kept = out.collect()
+    assert out.columns == docs.columns and len(kept) == 7 and sum(r.text == lone for r in kept) == 1
+    assert {r.taken for r in stage["mixing"](spark, docs, d).collect() if r.size == 0} == {0}
+    none = docs.limit(0)
+    for name, f in P.STAGES:
+        assert f(spark, none, d).count() == 0, name
