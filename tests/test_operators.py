@@ -43,17 +43,18 @@ def test_slope_counts_invalid_cells_as_the_median(spark):
     assert got[0][2] is None and got[0][1] == pytest.approx(math.atan(0.5))  # the median of 1, 2, 1, 2, 3 is 2; rows are alike
 
 
-def test_ramp_flows_south_into_the_stream(spark):
-    z = [[30.0 - r] * 16 for r in range(16)]
-    stream = [[r == 15] * 16 for r in range(16)]
+def test_a_slope_to_the_east_gathers_row_by_row(spark):
+    """Nine rows fall by two to the east, the last column is a stream; row 4 has a step of seven more in the middle."""
+    z = [[100.0 - 2 * c - (7 if r == 4 and c > 5 else 0) for c in range(12)] for r in range(9)]
+    stream = [[c == 11 for c in range(12)] for _ in range(9)]
     c = focal.flow_direction(cells_of(spark, z, stream=stream))
-    d = as_grid(c, "flowdir", 16, 16)
-    assert all(d[r][k] == 4 for r in range(15) for k in range(16)) and set(d[15]) == {-2}
-    c = c.withColumn("down_id", flow.downstream(16))
+    d = as_grid(c, "flowdir", 9, 12)
+    assert all(d[r][k] == 2 for r in (0, 1, 7, 8) for k in range(11)) and d[3][5] == 3 and d[5][5] == 1 and d[0][11] == -2
+    c = c.withColumn("down_id", flow.downstream(12))
     acc = {r.cell_id: r.acc for r in flow.flow_accumulation(c).collect()}
-    assert acc[15 * 16] == 15 and acc[0] == 0
-    hand = as_grid(flow.height_above_drainage(c), "hand", 16, 16)
-    assert hand[15] == [0.0] * 16 and hand[0][3] == 15.0
+    assert acc[0 * 12 + 11] == acc[8 * 12 + 11] == 11 and acc[0] == 0 and acc[4 * 12 + 6] > 12
+    hand = as_grid(flow.height_above_drainage(c), "hand", 9, 12)
+    assert [row[11] for row in hand] == [0.0] * 9 and hand[0][0] == 22.0 and hand[4][0] == 29.0 and hand[3][5] == 12.0 + 7.0
 
 
 def test_hand_follows_the_flow_and_clamps(spark):
@@ -61,14 +62,16 @@ def test_hand_follows_the_flow_and_clamps(spark):
     assert {r.cell_id: r.hand for r in flow.height_above_drainage(c).collect()} == {0: 0.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: None}
 
 
-def test_filling_raises_a_pit_by_steps_whatever_the_tiles(spark):
-    z = [[5.0] * 7 for _ in range(7)]
-    z[3][3] = 0.0
-    z[3][2] = z[2][3] = 1.0
-    whole = as_grid(flow.fill_depressions(cells_of(spark, z)), "filled", 7, 7)
-    tiled = as_grid(flow.fill_depressions(cells_of(spark, z), tile=2), "filled", 7, 7)
-    assert whole == tiled
-    assert whole[3][3] == pytest.approx(5.003) and whole[1][1] == pytest.approx(5.001) and whole[0][0] == 5.0
+def test_filling_raises_pits_by_steps_whatever_the_tiles(spark):
+    """A trench of three cells behind a lip of 8, two cells from the edge; its far end lies one step higher for each cell."""
+    z = [[12.0] * 9 for _ in range(6)]
+    for c, h in ((1, 8.0), (2, 3.0), (3, 2.0), (4, 3.0)):
+        z[2][c] = h
+    z[2][0] = 8.0
+    whole = as_grid(flow.fill_depressions(cells_of(spark, z)), "filled", 6, 9)
+    for tile in (2, 5):
+        assert as_grid(flow.fill_depressions(cells_of(spark, z), tile=tile), "filled", 6, 9) == whole
+    assert whole[2][:5] == pytest.approx([8.0, 8.001, 8.002, 8.003, 8.004]) and whole[3][3] == pytest.approx(12.0) and whole[0][0] == 12.0
 
 
 def test_halo_is_a_cross(spark):
@@ -112,9 +115,9 @@ def test_lines_touch_every_cell(spark):
 
 
 def test_headline_keeps_the_order_of_ties(spark):
-    rows = [("A", None, None, 9.0, 0), ("B", 0.9, 0.5, 1.0, 1), ("C", 0.8, 0.5, 7.0, 2), ("D", 0.8, 0.5, 5.0, 3), ("E", 0.8, 0.5, 5.0, 4), ("F", 0.1, 0.1, 99.0, 5)]
+    rows = [("mill", 0.31, 0.2, 4.0, 0), ("yard", 0.44, 0.1, 2.0, 1), ("dock", 0.31, 0.3, 4.0, 2), ("kiln", None, 0.3, 50.0, 3), ("shop", 0.31, 0.2, 6.0, 4), ("barn", 0.05, 0.05, 800.0, 5), ("pier", 0.4, None, 1.0, 6), ("loft", 0.06, 0.01, 0.0, 7)]
     d = spark.createDataFrame(rows, "name string, p_max double, p_mean double, on_site_release_lb double, ordinal int")
-    assert [r.name for r in facilities.headline(d, "ordinal").collect()] == list("BCDEF")
+    assert [r.name for r in facilities.headline(d, "ordinal").collect()] == ["yard", "shop", "mill", "dock", "loft"]
 
 
 def test_average_precision_groups_ties(spark):
