@@ -327,6 +327,7 @@ def reduce_windows(plan: Plan):
                 s = A.spread(start, n_win)
                 within = s - np.repeat(start, n_win)
                 windows = np.concatenate([A.mix(x) for x in range_hashes(tokens, s, plan.t)]) if len(s) else np.zeros(0, np.uint64)
+                windows = by_bytes(windows, np.frombuffer(b"".join(data), np.uint8), s, plan.t)
             place = np.repeat(place, n_win) * 4096 + within if plan.own else np.zeros(len(windows), np.int64)
             hit = later(windows, np.repeat(doc, n_win), place)
             at = 0
@@ -340,6 +341,20 @@ def reduce_windows(plan: Plan):
     return run
 
 
+def by_bytes(windows: np.ndarray, raw: np.ndarray, s: np.ndarray, t: int) -> np.ndarray:
+    """The hashes of raw[s:s+t], if equal hashes have equal bytes; else numbers that do."""
+    order = np.argsort(windows, kind="stable")
+    starts = A.group_starts(windows[order])
+    first = np.repeat(order[starts], A.group_lengths(starts, len(order)))
+    twin = np.flatnonzero(order != first)
+    for i in range(0, len(twin), 1 << 18):
+        at, ref = s[order[twin[i : i + (1 << 18)]]], s[first[twin[i : i + (1 << 18)]]]
+        if any((raw[at + k] != raw[ref + k]).any() for k in range(t)):
+            rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, t)[s])
+            return np.unique(rows.view(np.dtype((np.void, t))).ravel(), return_inverse=True)[1].astype(np.uint64)
+    return windows
+
+
 def range_hashes(tokens: np.ndarray, s: np.ndarray, t: int, step: int = 1 << 20):
     """Hashes of tokens[s:s+t], s ascending, worked on in slices so that the prefix tables stay small."""
     for i in range(0, len(s), step):
