@@ -13,7 +13,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Bytes of text worked on at once; bounds the temporaries, never the length of a document.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 

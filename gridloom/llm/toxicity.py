@@ -36,7 +36,7 @@ MIN_TEXTS = 3
 #: label 1, less will do, so that a word of three texts, all of label 1, is learned in a full sample (6.59): the L1 penalty selects among those.
 LEAST_RATIO, LEAST_RATIO_TOXIC = 12.0, 6.5
 #: Bits of the hash by which features are counted before they are screened.
-SLOT_BITS = 23
+SLOT_BITS = 24
 STEMS = (4, 5, 6)
 SKIPS = (1, 2, 3)
 
@@ -95,15 +95,16 @@ def telling(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, list[np
 
     Counts by a part of the hash screen the features first, so that memory does not grow with their number.
     """
-    slot = np.uint64((1 << SLOT_BITS) - 1)
-    n, n1 = np.zeros(1 << SLOT_BITS, np.float32), np.zeros(1 << SLOT_BITS, np.float32)
+    slot, kind = np.uint64((1 << SLOT_BITS) - 1), np.uint16 if len(texts) < 20_000 else np.uint32
+    n, n1 = np.zeros(1 << SLOT_BITS, kind), np.zeros(1 << SLOT_BITS, kind)
     for a, _, keys, docs in distinct(texts):
         at = (keys & slot).astype(np.int64)
-        np.add.at(n, at, np.float32(1))
-        np.add.at(n1, at, labels[a + docs].astype(np.float32))
-    busy = np.flatnonzero(n >= MIN_TEXTS)
+        np.add.at(n, at, kind(1))
+        np.add.at(n1, at[labels[a + docs] > 0], kind(1))
     good = np.zeros(1 << SLOT_BITS, bool)
-    good[busy] = says_something(n1[busy].astype(float), n[busy].astype(float), labels.sum(), len(labels), 0.5)
+    for i in range(0, len(n), 1 << 20):  # in slices: the test takes many numbers a slot
+        busy = i + np.flatnonzero(n[i : i + (1 << 20)] >= MIN_TEXTS)
+        good[busy] = says_something(n1[busy].astype(float), n[busy].astype(float), labels.sum(), len(labels), 0.5)
     del n, n1
     rows: list[np.ndarray] = []
     for a, b, keys, docs in distinct(texts):
@@ -113,9 +114,12 @@ def telling(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, list[np
         rows += [keys[cut[i] : cut[i + 1]] for i in range(b - a)]
     if not rows:
         return np.zeros(0, np.uint64), []
-    keys, at = np.unique(np.concatenate(rows), return_inverse=True)
-    exact1 = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(keys))
-    exact = np.bincount(at, minlength=len(keys)).astype(float)
+    keys = np.concatenate(rows)
+    toxic = np.sort(keys[np.repeat(labels > 0, [len(r) for r in rows])])
+    keys.sort()
+    first = A.group_starts(keys)
+    exact, keys = A.group_lengths(first, len(keys)).astype(float), keys[first]
+    exact1 = (np.searchsorted(toxic, keys, "right") - np.searchsorted(toxic, keys, "left")).astype(float)
     vocabulary = keys[(exact >= MIN_TEXTS) & says_something(exact1, exact, labels.sum(), len(labels))]
     ids = []
     for k in rows:
