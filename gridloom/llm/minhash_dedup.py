@@ -9,8 +9,9 @@ against each other: they differ in at most as many bits as the sets do in shingl
 
 Equal sets collapse to one representative, which has a number of its own, before anything else. Links are wanted for
 components, so pairs are not all listed: first each document meets the least member of each of its postings; then, in
-postings that still hold several components, members of different components meet. After that no candidate pair between
-two components is left untested. Long postings are cut into blocks of members whose pairs are dealt out as cells, and the
+postings that still hold several components, members of different components meet, and a forest of the pairs that could be
+links is confirmed; if any of these is none, all pairs of the components then left are confirmed. After that no candidate
+pair between two components is left untested. Long postings are cut into blocks of members whose pairs are dealt out as cells, and the
 number of buckets follows from the members counted, so a task's memory is bounded whatever the size of a posting. Sets
 that are compared travel in parts of bounded size, once for each cell of a representative and not for each pair.
 
@@ -187,11 +188,41 @@ def planes_of(sig: np.ndarray) -> np.ndarray:
     return np.stack([np.packbits(np.concatenate((sig >> k & 1, pad), 1), axis=1).view(np.uint64) for k in (0, 1)])
 
 
-def meet(coordinates: int, similarity: float, need: int, percent: int, rows: int = 128, columns: int = 2048):
+class Forest:
+    """Components that pairs would join, if they were all links."""
+
+    def __init__(self, component: np.ndarray):
+        self.of = np.unique(component, return_inverse=True)[1]
+        self.root = np.arange(int(self.of.max(initial=-1)) + 1)
+
+    def labels(self, who: np.ndarray) -> np.ndarray:
+        return self.root[self.of[who]]
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            i = int(self.root[i])
+        return i
+
+    def edges(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Places of the pairs that join two components, each after those before it; the rest would join nothing new."""
+        out, at = [], np.arange(len(p))
+        while len(at := at[self.labels(p[at]) != self.labels(q[at])]):
+            for i in at[np.unique(self.labels(p[at]), return_index=True)[1]].tolist():
+                a, b = self.find(int(self.of[p[i]])), self.find(int(self.of[q[i]]))
+                if a != b:
+                    self.root[max(a, b)] = min(a, b)
+                    out.append(i)
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+        return np.array(out, np.int64)
+
+
+def meet(coordinates: int, similarity: float, need: int, percent: int, forest: bool = False, rows: int = 128, columns: int = 2048):
     """For mapInArrow over what deal() sends: pairs (a, b) of different components that share a token, agree often enough
     and could be alike by size. A pair comes from its first TIMES common tokens only. Two bits of every coordinate are
     compared for whole blocks of pairs at once, and all eight for the few pairs that this leaves, so that a long posting
-    takes time, but neither rows nor memory."""
+    takes time, but neither rows nor memory. With `forest`, only those pairs are given that join components of the bucket
+    which no pair before them joins: fewer than it has documents."""
     spare = -coordinates % 64
     need_bits = enough_matches(coordinates, similarity + (1 - similarity) / 4) + spare
 
@@ -208,6 +239,7 @@ def meet(coordinates: int, similarity: float, need: int, percent: int, rows: int
         rid, component, size, sig, bits, odd, token, cell, owner, upper = (np.concatenate(c) for c in zip(*parts))
         del parts
         planes = planes_of(sig)
+        trees = Forest(component)
         order = np.lexsort((size[owner], upper, cell, token))
         token, cell, owner, upper = token[order], cell[order], owner[order], upper[order]
         starts = A.group_starts(token, cell)
@@ -223,7 +255,7 @@ def meet(coordinates: int, similarity: float, need: int, percent: int, rows: int
                 hi = int(np.searchsorted(n_right, size[x[-1]] * 10000 // percent, "right"))
                 for j in range(lo, hi, columns):
                     y = right[j : min(j + columns, hi)]
-                    ok = component[x][:, None] != component[y][None, :]
+                    ok = trees.labels(x)[:, None] != trees.labels(y)[None, :]
                     if alone:
                         ok &= np.arange(i, i + len(x))[:, None] < np.arange(j, j + len(y))[None, :]
                     if not ok.any():
@@ -244,7 +276,9 @@ def meet(coordinates: int, similarity: float, need: int, percent: int, rows: int
                             continue
                         p, q, same = p[hit], q[hit], same[hit]
                         common = same & np.unpackbits(bits[p] & bits[q], axis=1, count=coordinates).astype(bool)
-                        mine = common[:, :coordinate].sum(1) < TIMES
+                        mine = np.flatnonzero(common[:, :coordinate].sum(1) < TIMES)
+                        if forest:
+                            mine = mine[trees.edges(p[mine], q[mine])]
                         a, b = np.minimum(rid[p[mine]], rid[q[mine]]), np.maximum(rid[p[mine]], rid[q[mine]])
                         if len(a):
                             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -431,18 +465,25 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
     links = stored(confirmed(star), "confirmed")
     found = components(links, "a", "b")
 
-    labelled = posts.join(found, F.col("rid") == F.col("id"), "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("component"))
-    labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    mixed = stored(mixed.select("token", "m", F.ceil(F.col("m") / CELL_MEMBERS).cast("int").alias("blocks")), "mixed")
-    members = mixed.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
-    buckets = max(n_parts, -(-members // BUCKET_MEMBERS))
-    open_ = labelled.join(mixed.select("token", "blocks"), "token").groupBy("rid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list(F.struct("token", "blocks")).alias("t"))
-    open_ = open_.join(lows.drop("n"), "rid").select("rid", "component", "n", "low", "odd", "t.token", "t.blocks")
-    dealt = open_.mapInArrow(deal(A.aligned_keys(buckets)), "bucket int, payload binary").repartition(buckets, "bucket")
-    cross = dealt.mapInArrow(meet(coordinates, similarity, need, percent), "a long, b long").distinct()
-    cross = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
-    links = links.union(confirmed(cross))
+    def crossing(found: DataFrame, forest: bool) -> DataFrame:
+        """Distinct pairs of different components that could be alike, all of them or a forest."""
+        labelled = posts.join(found, F.col("rid") == F.col("id"), "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("component"))
+        labelled = stored(labelled, "labelled")
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        mixed = stored(mixed.select("token", "m", F.ceil(F.col("m") / CELL_MEMBERS).cast("int").alias("blocks")), "mixed")
+        members = mixed.agg(F.sum(F.col("m") * F.col("blocks"))).first()[0] or 0
+        buckets = max(n_parts, -(-members // BUCKET_MEMBERS))
+        open_ = labelled.join(mixed.select("token", "blocks"), "token").groupBy("rid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list(F.struct("token", "blocks")).alias("t"))
+        open_ = open_.join(lows.drop("n"), "rid").select("rid", "component", "n", "low", "odd", "t.token", "t.blocks")
+        dealt = open_.mapInArrow(deal(A.aligned_keys(buckets)), "bucket int, payload binary").repartition(buckets, "bucket")
+        return stored(dealt.mapInArrow(meet(coordinates, similarity, need, percent, forest), "a long, b long").distinct(), "crossing")
+
+    trees = crossing(found, True)
+    links = links.union(stored(confirmed(trees.join(star, ["a", "b"], "left_anti")), "confirmed"))
+    if not trees.join(links, ["a", "b"], "left_anti").isEmpty():  # an edge that is no link may have hidden others
+        found = components(links, "a", "b")
+        rest = crossing(found, False).join(star.union(trees), ["a", "b"], "left_anti")
+        links = links.union(stored(confirmed(stored(rest, "rest")), "confirmed"))
     found = components(links, "a", "b")
 
     # every set's component: the least id and the first row of all that it can reach

@@ -94,6 +94,18 @@ def test_anchors_travel_with_whole_fingerprints(words):
         assert R.COVERED not in R.settle(back[:-2], back[-2], back[-1], None)
 
 
+def test_contested_windows_are_held_apart_by_their_bytes():
+    from gridloom.llm import repeats as R
+
+    raw = np.frombuffer(b"abcabcabdxabc", np.uint8)
+    s = np.array([0, 3, 6, 10, 7])
+    want = [raw[i : i + 3].tobytes() for i in s]
+    for windows in (np.zeros(5, np.uint64), np.array([1, 1, 1, 1, 2], np.uint64), np.array([hash(w) & 0xFFFF for w in want], np.uint64)):
+        got = R.by_bytes(windows, raw, s, 3).tolist()
+        assert all((x == y) == (a == b) for x, a in zip(got, want) for y, b in zip(got, want))
+    assert len(R.by_bytes(np.zeros(0, np.uint64), raw, np.zeros(0, np.int64), 3)) == 0
+
+
 def test_minhash(spark, docs):
     from gridloom.llm.minhash_dedup import near_duplicates
 
@@ -147,8 +159,17 @@ def test_minhash_cells_give_every_pair_once():
         pairs = []
         for k in {x["bucket"] for x in sent}:
             mine = pa.RecordBatch.from_pylist([x for x in sent if x["bucket"] == k])
-            pairs += [(x["b"], x["a"]) for b in M.meet(coordinates, 0.8, need, 8000, 16, 32)([mine]) for x in b.to_pylist()]
+            pairs += [(x["b"], x["a"]) for b in M.meet(coordinates, 0.8, need, 8000, False, 16, 32)([mine]) for x in b.to_pylist()]
         assert set(pairs) == want and len(want) > 500
+        trees = []
+        for k in {x["bucket"] for x in sent}:
+            mine = pa.RecordBatch.from_pylist([x for x in sent if x["bucket"] == k])
+            trees += [(x["b"], x["a"]) for b in M.meet(coordinates, 0.8, need, 8000, True, 16, 32)([mine]) for x in b.to_pylist()]
+        assert set(trees) <= want and len(trees) <= 4 * n
+        joined = M.Forest(np.arange(n)), M.Forest(np.arange(n))
+        for forest, links in zip(joined, (trees, sorted(want))):
+            forest.edges(*np.array(links).T)
+        assert (joined[0].root == joined[1].root).all()
 
 
 def test_parity_bitmaps_turn_away_no_pair_that_is_alike():
