@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 from itertools import product
 from urllib.error import HTTPError
 from urllib.parse import parse_qs, urlsplit
@@ -109,11 +110,14 @@ def release_years(spark, d):
     """Releases page by page and state by state, of the first year that has any inside."""
     rows, states = table(spark, d, "supplier").orderBy("s_suppkey").collect(), ("IN", "IL", "MI", "OH")
 
+    @lru_cache(1)
+    def of_state(year: str, state: str) -> list[dict]:
+        return [{"ST": state, "LATITUDE": "41.5" if year == "2022" and r.s_suppkey % 5 else "3.0", "LONGITUDE": "-87.0", "FRS ID": f"F{r.s_suppkey}", "FACILITY NAME": r.s_name, "ON-SITE RELEASE TOTAL": str(r.s_nationkey)} for r in rows if states[r.s_suppkey % 4] == state]
+
     def send(url: str, form):
         *_, year, _, state, _, span, _ = urlsplit(url).path.split("/")
         a, b = map(int, span.split(":"))
-        mine = [{"ST": state, "LATITUDE": "41.5" if year == "2022" and r.s_suppkey % 5 else "3.0", "LONGITUDE": "-87.0", "FRS ID": f"F{r.s_suppkey}", "FACILITY NAME": r.s_name, "ON-SITE RELEASE TOTAL": str(r.s_nationkey)} for r in rows if states[r.s_suppkey % 4] == state]
-        return json.dumps(mine[a - 1 : b]).encode()
+        return json.dumps(of_state(year, state)[a - 1 : b]).encode()
 
     def inside(year: int):
         raw = ingest.rows_table(spark, ingest.releases(client(send), year, facilities.STATES, page=9))

@@ -1,7 +1,8 @@
 """Driver-side ingest of public map services and release files: requests, retries, pages, tiles.
 
 Everything that talks to a network takes a transport, `send(url, form)` -> bytes (form None: GET), so any source can stand in
-for the service. Pages come one after another, as each names where the next begins; what they hold becomes a table at once
+for the service. Pages come one after another, as each names where the next begins, however many there are; a service that goes
+on and on with what it gave before is refused. What the pages hold becomes a table at once
 (`features_table`, `rows_table`), and tables are what the engine works on. Nothing here runs inside a task.
 """
 
@@ -11,6 +12,8 @@ import json
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
+from itertools import count
 from urllib.parse import parse_qs, urlencode, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -134,6 +137,20 @@ def block_layer(code: str) -> Layer:
     return Layer(BLOCKS, f"huc10 LIKE '{code}%'", BLOCK_FIELDS, more=COARSE)
 
 
+class Progress:
+    """Refuses a source when so many pages in a row held nothing but what earlier ones did. There is no bound on pages that bring something."""
+
+    def __init__(self, source: str, patience: int):
+        self.source, self.patience, self.idle, self.seen = source, patience, 0, set()
+
+    def take(self, items: list[dict]) -> None:
+        had = len(self.seen)
+        self.seen.update(blake2b(json.dumps(x, sort_keys=True).encode(), digest_size=16).digest() for x in items)
+        self.idle = self.idle + 1 if len(self.seen) == had else 0
+        if self.idle >= self.patience:
+            raise GateError(f"{self.source} repeats itself: {self.idle} pages in a row without anything new")
+
+
 def has_more(page: dict) -> bool:
     return any(x.get("exceededTransferLimit") for x in (page, page.get("properties") or {}))
 
@@ -291,14 +308,16 @@ def collection(features: list[dict], crs: int = VECTOR_CRS) -> dict:
 
 
 def releases(client: Client, year: int, states: tuple[str, ...], page: int = RELEASE_PAGE) -> list[dict]:
-    """Release rows of a year, state by state; a short page is a state's last."""
+    """Release rows of a year, state by state; a short page is a state's last. RELEASE_PAGES full ones in a row without anything new are refused."""
     rows: list[dict] = []
     for state in states:
-        for k in range(RELEASE_PAGES):
+        progress = Progress(f"the release service ({state}, {year})", RELEASE_PAGES)
+        for k in count():
             part = client.document(f"{RELEASES}/YEAR/{year}/ST/{state}/ROWS/{k * page + 1}:{(k + 1) * page}/JSON", kind=list)
             rows += part
             if len(part) < page:
                 break
+            progress.take(part)
     if not rows:
         raise GateError(f"no releases in {year}")
     return rows

@@ -182,3 +182,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.startswith("stage 0 gate=pass unit=04040001 grid=fixture 32x32")
     (tmp_path / "zones.geojson").write_text(json.dumps(doc))
     assert cli.main(["A", "--unit", str(tmp_path / "unit.geojson"), "--out", out, "--zones", str(tmp_path / "zones.geojson")]) == 1
+
+
+def numbered(n, short=True):
+    """A release service of n rows in each state; without an end, its first page comes again and again."""
+
+    def send(url, form):
+        a, b = map(int, url.split("/ROWS/")[1].split("/")[0].split(":"))
+        return json.dumps([{"k": k} for k in (range(a, min(b, n) + 1) if short else range(1, b - a + 2))]).encode()
+
+    return send
+
+
+def test_releases_are_read_to_the_last_page():
+    for n in (2 * ingest.RELEASE_PAGES, 2 * ingest.RELEASE_PAGES + 1, 5 * ingest.RELEASE_PAGES):
+        assert [r["k"] for r in ingest.releases(patient(numbered(n)), 2023, ("IN", "IL"), page=2)] == [*range(1, n + 1)] * 2
+    with pytest.raises(GateError, match="repeats itself"):
+        ingest.releases(patient(numbered(0, short=False)), 2023, ("IN",), page=2)
