@@ -24,6 +24,14 @@ def service(features: list[dict], where=lambda p, w: True):
     """A transport that answers like a layer of points: spatial reference, filter, envelope, pages. It fails once before each address works."""
     failed = set()
 
+    @lru_cache(1)
+    def found(asked_where: str, area: str | None) -> list[dict]:
+        of = [x for x in features if where(x["properties"], asked_where)]
+        if area is None:
+            return of
+        w, s, e, n = map(float, area.split(","))
+        return [x for x in of if w <= x["geometry"]["coordinates"][0][0] <= e and s <= x["geometry"]["coordinates"][0][1] <= n]
+
     def send(url: str, form: dict[str, str] | None) -> bytes:
         parts = urlsplit(url)
         if parts.path not in failed:
@@ -32,12 +40,9 @@ def service(features: list[dict], where=lambda p, w: True):
         asked = form if form is not None else {k: v[0] for k, v in parse_qs(parts.query).items()}
         if asked.get("f") == "pjson":
             return json.dumps({"extent": {"spatialReference": {"wkid": 1, "latestWkid": 4269}}}).encode()
-        found = [x for x in features if where(x["properties"], asked["where"])]
-        if asked.get("geometryType") == "esriGeometryEnvelope":
-            w, s, e, n = map(float, asked["geometry"].split(","))
-            found = [x for x in found if w <= x["geometry"]["coordinates"][0][0] <= e and s <= x["geometry"]["coordinates"][0][1] <= n]
-        at, most = int(asked.get("resultOffset", 0)), int(asked.get("resultRecordCount", len(found) or 1))
-        return json.dumps({"features": found[at : at + most], "properties": {"exceededTransferLimit": at + most < len(found)}}).encode()
+        of = found(asked["where"], asked["geometry"] if asked.get("geometryType") == "esriGeometryEnvelope" else None)
+        at, most = int(asked.get("resultOffset", 0)), int(asked.get("resultRecordCount", len(of) or 1))
+        return json.dumps({"features": of[at : at + most], "properties": {"exceededTransferLimit": at + most < len(of)}}).encode()
 
     return send
 

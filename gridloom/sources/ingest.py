@@ -104,7 +104,7 @@ def layer_crs(meta: dict) -> int | None:
 
 @dataclass(frozen=True)
 class Layer:
-    """What is asked of a layer of features."""
+    """What is asked of a layer of features. So many pages in a row may hold nothing new before it is refused."""
 
     url: str
     where: str
@@ -157,16 +157,17 @@ def has_more(page: dict) -> bool:
 
 def every_page(layer: Layer, ask: Callable[[int], dict]) -> Iterator[dict]:
     """Features of all pages: ask(offset) gives one. The end is an empty page, or one that does not say there is more."""
-    offset = 0
-    for _ in range(layer.pages):
+    offset, progress = 0, Progress(layer.url, layer.pages)
+    while True:
         page = ask(offset)
         batch = page.get("features") or []
         yield from batch
         if not batch or not has_more(page):
             return
+        if not layer.page:
+            raise GateError(f"{layer.url} gave a part of its features, and no pages were asked for")
+        progress.take(batch)
         offset += len(batch)
-    if layer.page:
-        raise GateError(f"{layer.url} has more than {layer.pages} pages")
 
 
 def envelope(box: tuple[float, float, float, float]) -> dict[str, str]:

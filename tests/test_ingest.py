@@ -199,3 +199,22 @@ def test_releases_are_read_to_the_last_page():
         assert [r["k"] for r in ingest.releases(patient(numbered(n)), 2023, ("IN", "IL"), page=2)] == [*range(1, n + 1)] * 2
     with pytest.raises(GateError, match="repeats itself"):
         ingest.releases(patient(numbered(0, short=False)), 2023, ("IN",), page=2)
+
+
+def made(n):
+    at = lambda k: {"type": "LineString", "coordinates": [[0.1, 0.1], [k, 1.0]]}
+    return json.loads(json.dumps([{"properties": {"OBJECTID": k if k % 2 else None, "ftype": 460}, "geometry": at(k)} for k in range(n)]))
+
+
+RING = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+SAME = {"features": [{"properties": {}}], "properties": {"exceededTransferLimit": True}}
+
+
+def test_a_layer_is_read_to_its_last_page():
+    from gridloom.plans.gate_queries import service
+
+    all_of_it = made(2 * ingest.LAYER_PAGES + 3)
+    layer = ingest.Layer(ingest.FLOOD_ZONES, ingest.ALL, ingest.FLOOD_FIELDS, 2, ingest.LAYER_PAGES)
+    assert ingest.flood_zones(patient(service(all_of_it)), None, layer) == all_of_it
+    with pytest.raises(GateError, match="gave a part"):
+        ingest.blocks(patient(answers(SAME)), "04040001")
