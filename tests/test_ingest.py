@@ -218,3 +218,11 @@ def test_a_layer_is_read_to_its_last_page():
     assert ingest.flood_zones(patient(service(all_of_it)), None, layer) == all_of_it
     with pytest.raises(GateError, match="gave a part"):
         ingest.blocks(patient(answers(SAME)), "04040001")
+
+
+def test_tiles_of_a_layer_are_read_to_their_last_page():
+    from gridloom.plans.gate_queries import service
+
+    all_of_it = made(2 * ingest.TILE_PAGES + 3)
+    layer = ingest.Layer(ingest.FLOOD_ZONES, ingest.ALL, ingest.FLOOD_FIELDS, 2)
+    assert ingest.flood_zones(patient(service(all_of_it)), (0.0, 0.0, 0.2, 0.2), layer) == all_of_it
