@@ -226,3 +226,13 @@ def test_tiles_of_a_layer_are_read_to_their_last_page():
     all_of_it = made(2 * ingest.TILE_PAGES + 3)
     layer = ingest.Layer(ingest.FLOOD_ZONES, ingest.ALL, ingest.FLOOD_FIELDS, 2)
     assert ingest.flood_zones(patient(service(all_of_it)), (0.0, 0.0, 0.2, 0.2), layer) == all_of_it
+
+
+def test_water_is_read_to_its_last_page():
+    from gridloom.plans.gate_queries import service
+
+    all_of_it = made(2 * ingest.TILE_PAGES + 3)
+    layer = ingest.Layer(ingest.FLOWLINES, ingest.STREAMS, ingest.WATER_FIELDS, 2, ingest.TILE_PAGES)
+    assert ingest.water(patient(service(all_of_it)), layer, [RING]) == all_of_it
+    with pytest.raises(GateError, match="repeats itself"):
+        ingest.water(patient(answers(SAME)), ingest.WATERBODY_LAYER, [RING])
