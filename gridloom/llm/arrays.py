@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 
 import numpy as np
@@ -121,6 +122,24 @@ def group_lengths(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.concatenate((starts, [n])))
 
 
+def joined(parts: list[list], i: int, kind=np.int64) -> np.ndarray:
+    """Column i of all parts in one array; the parts let go of theirs, so that no column is held twice for longer than this."""
+    out = np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)
+    for p in parts:
+        p[i] = None
+    return out
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     """Order of rows of machine words: sort by one word, and only runs of equals by the next (multikey quicksort)."""
     order = np.argsort(words[0], kind="stable")
@@ -128,11 +147,11 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     if not n:
         return order
     tied = np.zeros(n, bool)
-    run = np.zeros(n, np.int64)
+    run = np.zeros(n, np.int32)
     for depth in range(1, len(words)):
         w = words[depth - 1][order]
         new = np.concatenate(([True], (w[1:] != w[:-1]) | (run[1:] != run[:-1])))
-        run = np.cumsum(new)
+        run = np.cumsum(new, dtype=np.int32)
         tied = ~(new & np.concatenate((new[1:], [True])))
         at = np.flatnonzero(tied)
         if not len(at):

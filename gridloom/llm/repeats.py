@@ -32,12 +32,14 @@ SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("kind", p
 ANSWER_SCHEMA = pa.schema([("blk", pa.int32()), ("src", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 COVERED, CONTESTED = 1, 2
 CARRY, MARKS, WINDOWS = 0, 1, 2
+#: Records worked on at once where all of them would take many numbers each.
+SLICE = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
 class Plan:
-    """t: tokens of a window; k: tokens of an anchor; words: tokens are words and not bytes; own: an earlier start in the same document counts."""
+    """t: tokens of a window; k: tokens of an anchor; words: tokens are words and not bytes; own: an earlier start in the same document counts; carried: the text comes out again."""
 
     t: int
     k: int
@@ -45,12 +47,12 @@ class Plan:
     own: bool
     id_col: str
     text_col: str
+    carried: bool = False
 
 
 @dataclass
 class Anchors:
     doc: np.ndarray
-    at: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     lead: list[np.ndarray]
@@ -59,6 +61,8 @@ class Anchors:
 
 @dataclass
 class Docs:
+    """table: all columns, the text only if it is carried."""
+
     table: pa.Table
     ids: np.ndarray
     texts: list[bytes]
@@ -67,13 +71,12 @@ class Docs:
 def in_order(table: pa.Table, plan: Plan) -> Docs:
     """The rows of a block in the order of id (null last) and text, whatever order the shuffle brought."""
     ids = pc.fill_null(table[plan.id_col].cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
-    raw = table[plan.text_col].cast(pa.binary())
+    texts = table[plan.text_col].cast(pa.binary()).to_pylist()
     order = np.argsort(ids, kind="stable")
     if len(ids) and (np.diff(ids[order]) == 0).any():
-        texts = raw.to_pylist()
         order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] is not None, texts[i] or b"")), np.int64)
-    table = table.take(pa.array(order))
-    return Docs(table, ids[order], [x or b"" for x in table[plan.text_col].cast(pa.binary()).to_pylist()])
+    others = table if plan.carried else table.drop_columns([plan.text_col])
+    return Docs(others.take(pa.array(order)), ids[order], [texts[i] or b"" for i in order.tolist()])
 
 
 def pieces(docs: Docs, plan: Plan):
@@ -98,9 +101,9 @@ def big_endian(buf: np.ndarray, at: np.ndarray, n: int = 8) -> np.ndarray:
     return out
 
 
-def find(docs: Docs, plan: Plan, keep=None) -> Anchors:
-    """Anchors of a block; keep(piece, roll, anchor number) sees each piece as it is worked on."""
-    parts, seen = [], 0
+def find(docs: Docs, plan: Plan) -> Anchors:
+    """Anchors of a block, in the order of the documents. lo and hi count within a piece."""
+    parts = []
     for piece in pieces(docs, plan):
         a, tokens, buf, _, _, first, count = piece
         roll = A.Rolling(tokens)
@@ -110,13 +113,10 @@ def find(docs: Docs, plan: Plan, keep=None) -> Anchors:
             doc = doc - short
         lead = [A.mix(grams[at])] if plan.words else [big_endian(buf, at + i) for i in range(0, plan.k, 8)]
         cover = A.mix_with(A.mix(roll.ranges(lo, hi + plan.t)), ((at - lo) * 4096 + (hi - lo)).astype(np.uint64))
-        parts.append((doc + a, at, lo, hi, *lead, cover))
-        if keep:
-            keep(piece, roll, slice(seen, seen + len(at)), (at, lo, hi))
-        seen += len(at)
+        parts.append([(doc + a).astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), *lead, cover])
     n_lead = 1 if plan.words else plan.k // 8
-    cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * (n_lead + 1)
-    return Anchors(*cols[:4], list(cols[4 : 4 + n_lead]), cols[4 + n_lead])
+    cols = [A.joined(parts, i, np.int32 if i < 3 else np.uint64) for i in range(4 + n_lead)]
+    return Anchors(*cols[:3], cols[3 : 3 + n_lead], cols[3 + n_lead])
 
 
 @dataclass
@@ -128,23 +128,28 @@ class Sent:
     bucket: np.ndarray
 
 
-def records(docs: Docs, found: Anchors, bucket_of) -> Sent:
-    n = len(found.at)
+def records(found: Anchors, bucket_of) -> Sent:
+    n = len(found.cover)
     if not n:
-        z = np.zeros(0, np.int64)
+        z = np.zeros(0, np.int32)
         return Sent(z, z, z)
     h = found.cover
     for w in found.lead:
         h = A.mix_with(h, w)
-    order = np.argsort(h, kind="stable")  # anchors are in document order: the first of each run is the earliest
+    order = np.argsort(h, kind="stable").astype(np.int32)  # anchors are in document order: the first of each run is the earliest
     starts = A.group_starts(h[order])
-    lens = A.group_lengths(starts, n)
+    del h
+    lens = A.group_lengths(starts, n).astype(np.int32)
     pick = order[starts]
-    record = np.empty(n, np.int64)
-    bucket = bucket_of([w[pick] for w in found.lead], found.cover[pick])
-    by = np.lexsort((found.lead[0][pick], bucket))
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
+    del starts
+    bucket = np.empty(len(pick), np.int32)
+    for i in range(0, len(pick), SLICE):
+        some = pick[i : i + SLICE]
+        bucket[i : i + SLICE] = bucket_of([w[some] for w in found.lead], found.cover[some])
+    by = np.lexsort((found.lead[0][pick], bucket)).astype(np.int32)
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    record = np.empty(n, np.int32)
     record[order] = np.repeat(rank, lens)
     return Sent(pick[by], record, bucket[by])
 
@@ -189,21 +194,22 @@ def spread_by_splitters(split: list[np.ndarray]):
 
 
 def settle(lead: list[np.ndarray], cover: np.ndarray, doc: np.ndarray, edges: list[np.ndarray] | None) -> np.ndarray:
-    """COVERED, CONTESTED or 0 for every record of a bucket. edges: leads of the splitters; equal leads may lie beyond them."""
+    """COVERED, CONTESTED or 0 for every record of a bucket. edges: leads of the splitters; equal leads may lie beyond them.
+    The records' columns are put in order in place: they fill most of what a bucket takes."""
     n = len(doc)
     order = A.multikey_order([*lead, cover, doc.view(np.uint64)])
     state = np.zeros(n, np.uint8)
     if not n:
         return state
-    lead = [w[order] for w in lead]
-    cover, doc = cover[order], doc[order]
+    order = order.astype(np.int32)
+    for w in (*lead, cover, doc):
+        w[:] = w[order]
     same = A.group_starts(*lead, cover)
     run = A.group_lengths(same, n)
-    least = np.repeat(doc[same], run)
-    out = np.where(doc > least, COVERED, 0).astype(np.uint8)
+    out = (doc > np.repeat(doc[same], run)).astype(np.uint8) * np.uint8(COVERED)
     g = A.group_starts(*lead)
     glen = A.group_lengths(g, n)
-    kinds = np.add.reduceat(np.isin(np.arange(n), same, assume_unique=True).astype(np.int64), g)
+    kinds = np.diff(np.append(np.searchsorted(same, g), len(same)))
     contested = kinds > 1
     if edges is not None and len(edges[0]):
         for j in range(len(edges[0])):  # compare across boundaries: a splitter's own lead goes on in the next bucket
@@ -226,19 +232,25 @@ def later(windows: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray
 
 def reduce_marks(plan: Plan, keys: np.ndarray, edges: dict[int, list[np.ndarray]] | None):
     def run(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
+        rows, parts = [], []
+        for b in batches:
+            for blk, bucket, payload in zip(b["blk"].to_pylist(), b["bucket"].to_pylist(), b["payload"]):
+                parts.append(A.unpack(payload.as_py(), widths(plan)))
+                rows.append((blk, bucket, len(parts[-1][0])))
         if not rows:
             return
-        parts = [A.unpack(r["payload"], widths(plan)) for r in rows]
-        cols = [np.concatenate(c) for c in zip(*parts)]
-        state = settle(cols[:-2], cols[-2], cols[-1], edges and edges.get(rows[0]["bucket"]))
+        del b, payload
+        cols = [A.joined(parts, i) for i in range(len(widths(plan)))]
+        del parts
+        state = settle(cols[:-2], cols[-2], cols[-1], edges and edges.get(rows[0][1]))
+        del cols
         at = 0
         out = []
-        for r, p in zip(rows, parts):
-            n = len(p[0])
+        for blk, bucket, n in rows:
             bits = state[at : at + n]
-            out.append((r["blk"], r["bucket"], MARKS, A.squeeze(np.packbits(np.stack((bits == COVERED, bits == CONTESTED))).tobytes())))
+            out.append((blk, bucket, MARKS, A.squeeze(np.packbits(np.stack((bits == COVERED, bits == CONTESTED))).tobytes())))
             at += n
+        A.release()
         yield from answers(out)
 
     return run
@@ -262,23 +274,20 @@ def state_of(found: Anchors, docs: Docs, sent: Sent, rows: list[dict], plan: Pla
     return np.where(after, COVERED, mine).astype(np.uint8)
 
 
-def gather_windows(docs: Docs, plan: Plan, state: np.ndarray):
-    """For the contested anchors, piece by piece: their windows' hashes (words), or the bytes that they cover."""
-    out = []
-
-    def keep(piece, roll, span, spans):
-        at, lo, hi = spans
-        c = np.flatnonzero(state[span] == CONTESTED)
-        n = hi[c] - lo[c] + 1
-        if plan.words:
-            s = A.spread(lo[c], n)
-            out.append((A.mix(roll.ranges(s, s + plan.t)), n))
-        else:
-            out.append((piece[2][A.spread(lo[c], n + plan.t - 1)], n))
-
-    found = find(docs, plan, keep)
-    none = np.zeros(0, np.uint64 if plan.words else np.uint8)
-    return found, np.concatenate([x[0] for x in out]) if out else none, np.concatenate([x[1] for x in out]) if out else np.zeros(0, np.int64)
+def gather_windows(docs: Docs, plan: Plan, found: Anchors, state: np.ndarray):
+    """Of the contested anchors, piece by piece: their windows' hashes (words), or the bytes that they cover, and how many windows each has."""
+    out, seen = [], 0
+    for a, tokens, buf, _, _, _, count in pieces(docs, plan):
+        upto = int(np.searchsorted(found.doc, a + len(count), "left"))
+        c = seen + np.flatnonzero(state[seen:upto] == CONTESTED)
+        seen = upto
+        lo, n = found.lo[c], (found.hi[c] - found.lo[c] + 1).astype(np.int64)
+        if not plan.words:
+            out.append([buf[A.spread(lo, n + plan.t - 1)], n])
+        elif len(c):
+            s = A.spread(lo, n)
+            out.append([A.mix(A.Rolling(tokens).ranges(s, s + plan.t)), n])
+    return A.joined(out, 0, np.uint64 if plan.words else np.uint8), A.joined(out, 1)
 
 
 def contested_bucket(lead: list[np.ndarray], n: int) -> np.ndarray:
@@ -367,10 +376,11 @@ def range_hashes(tokens: np.ndarray, s: np.ndarray, t: int, step: int = 1 << 20)
 def removed_tokens(docs: Docs, plan: Plan, rows: list[dict], bucket_of, n_buckets: int, finish: Callable) -> None:
     """Call finish(piece, covered tokens) for each piece of the block."""
     found = find(docs, plan)
-    sent = records(docs, found, bucket_of)
+    sent = records(found, bucket_of)
     state = state_of(found, docs, sent, rows, plan)
+    del sent
     c = np.flatnonzero(state == CONTESTED)
-    n_win = found.hi[c] - found.lo[c] + 1
+    n_win = (found.hi[c] - found.lo[c] + 1).astype(np.int64)
     bucket = contested_bucket([w[c] for w in found.lead], n_buckets)
     order = np.argsort(bucket, kind="stable")
     got = {r["src"]: r["payload"] for r in rows if r["kind"] == WINDOWS}
@@ -429,11 +439,19 @@ def find_repeats(df: DataFrame, plan: Plan, finish: Callable, schema: str, split
     def first(table: pa.Table) -> pa.Table:
         blk = table["blk"][0].as_py()
         docs = in_order(table, plan)
-        found = find(docs, plan)
-        sent = records(docs, found, bucket_of)
-        wide = widths(plan)
-        cols = [*(w[sent.pick] for w in found.lead), found.cover[sent.pick], docs.ids[found.doc[sent.pick]]]
-        return sent_table([(int(keys[b]), blk, MARKS, A.pack(e - s, [(x[s:e], w) for x, (_, w) in zip(cols, wide)])) for b, s, e in sections(sent.bucket)])
+        found, ids = find(docs, plan), docs.ids
+        del docs
+        sent = records(found, bucket_of)
+        rows, wide = [], widths(plan)
+        for b, s, e in sections(sent.bucket):
+            pick = sent.pick[s:e]
+            cols = [*(w[pick] for w in found.lead), found.cover[pick], ids[found.doc[pick]]]
+            rows.append((int(keys[b]), blk, MARKS, A.pack(e - s, [(x, w) for x, (_, w) in zip(cols, wide)])))
+        del found, sent
+        out = sent_table(rows)
+        del rows
+        A.release()
+        return out
 
     def renumbered(table: pa.Table) -> list[dict]:
         number = {int(k): i for i, k in enumerate(keys)}
@@ -445,16 +463,20 @@ def find_repeats(df: DataFrame, plan: Plan, finish: Callable, schema: str, split
         blk = left["blk"][0].as_py()
         docs, rows = in_order(left, plan), renumbered(right)
         found = find(docs, plan)
-        sent = records(docs, found, bucket_of)
+        sent = records(found, bucket_of)
         state = state_of(found, docs, sent, rows, plan)
-        found, flat, n_win = gather_windows(docs, plan, state)
+        del sent
+        flat, n_win = gather_windows(docs, plan, found, state)
         out, _, _, _ = send_windows(docs, found, plan, state, flat, n_win, n)
+        del docs, found, state, flat, n_win
+        A.release()
         return sent_table([(int(keys[b]), blk, WINDOWS, p) for b, p in out] + [(int(keys[r["src"]]), blk, CARRY, r["payload"]) for r in rows])
 
     def third(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = in_order(left, plan)
         done = []
         removed_tokens(docs, plan, renumbered(right), bucket_of, n, lambda piece, covered: done.append(finish(docs, piece, covered)))
+        A.release()
         return pa.concat_tables(done) if done else finish(docs, None, None)
 
     sent1 = text.groupBy("blk").applyInArrow(first, SENT)

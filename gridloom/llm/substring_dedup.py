@@ -25,8 +25,8 @@ RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:lo
 
 def dedup_substrings(df: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed word ranges) and kept_text (kept words, one space between) of every document."""
-    plan = R.Plan(min_words, min(ANCHOR_WORDS, min_words), True, True, "doc_id", "text")
     df, names, kinds = private(df, id_col, text_col, carry)
+    plan = R.Plan(min_words, min(ANCHOR_WORDS, min_words), True, True, "doc_id", "text", "text" in names)
     schema = RESULT + kinds
 
     def finish(docs: R.Docs, piece, covered) -> pa.Table:

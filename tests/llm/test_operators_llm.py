@@ -632,3 +632,24 @@ def test_packed_records():
     order = A.multikey_order(words)
     assert list(zip(*(w[order] for w in words))) == sorted(zip(*words))
     assert sorted(A.murmur3_int(A.aligned_keys(13)).astype(np.int64) % 13) == list(range(13))
+
+
+def test_the_anchors_of_a_block_take_44_bytes_each():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.llm import repeats as R
+
+    r = np.random.default_rng(8)
+    texts = [r.integers(97, 123, 20_000).astype(np.uint8).tobytes().decode() for _ in range(100)]
+    plan = R.Plan(50, 24, False, False, "doc_id", "text")
+    docs = R.in_order(pa.table({"doc_id": pa.array(range(100), pa.int64()), "text": texts}), plan)
+    R.find(docs, plan)
+    tracemalloc.start()
+    found = R.find(docs, plan)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    n = len(found.cover)
+    assert n > 100_000 and held < 50 * n
