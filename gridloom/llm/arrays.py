@@ -140,6 +140,16 @@ def release() -> None:
         _trim(0)
 
 
+def releasing(run):
+    """A function for mapInArrow that gives freed memory back when it has gone through its batches."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     """Order of rows of machine words: sort by one word, and only runs of equals by the next (multikey quicksort)."""
     order = np.argsort(words[0], kind="stable")

@@ -81,6 +81,13 @@ def fingerprints(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [(c[end] - c[end - n]).view(np.int64) for c in sums]
 
 
+def text_chunks(column: pa.Array):
+    """(first, end, texts) of about CHUNK bytes of a column: no more texts are Python's own at once."""
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for i, j in A.chunks(sizes):
+        yield i, j, texts_of(column.slice(i, j - i))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -359,15 +366,14 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
 
     def base(batches):
         for b in batches:
-            texts = texts_of(b.column(1))
-            for i, j in A.chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
-                h, n = shingle_runs(texts[i:j], shingle_words)
+            for i, j, texts in text_chunks(b.column(1)):
+                h, n = shingle_runs(texts, shingle_words)
                 sig = sketch(h, n, coordinates)
                 binary = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *map(pa.array, fingerprints(h, n)), binary(sig), binary(parities(h, n))]
                 yield pa.RecordBatch.from_arrays([*cols, *(b.column(c).slice(i, j - i) for c in names)], names=["doc_id", "n", "f1", "f2", "sig", "odd", *names])
 
-    sketches = stored(docs.mapInArrow(base, "doc_id long, n long, f1 long, f2 long, sig binary, odd binary" + kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    sketches = stored(docs.mapInArrow(A.releasing(base), "doc_id long, n long, f1 long, f2 long, sig binary, odd binary" + kinds).withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     groups = stored(sketches.where("n > 0").groupBy("n", "f1", "f2").agg(first.alias("first"), F.count("*").alias("copies")), "sets").withColumn("rid", F.col("first.row"))
     reps = stored(sketches.join(groups.select("rid"), F.col("row") == F.col("rid"), "left_semi").select(F.col("row").alias("rid"), "doc_id", "n", "f1", "f2", "sig", "odd"), "representatives")
@@ -403,7 +409,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
             yield pa.RecordBatch.from_arrays([pa.array(who[s]), pa.array(token[s].view(np.int64)), pa.array(df_[s], pa.int64())], names=["rid", "token", "df"])
 
     keys = A.aligned_keys(n_parts)
-    counted = reps.select("rid", "sig").mapInArrow(post, "bucket int, payload binary").repartition(n_parts, "bucket").mapInArrow(shared, "rid long, token long, df long")
+    counted = reps.select("rid", "sig").mapInArrow(A.releasing(post), "bucket int, payload binary").repartition(n_parts, "bucket").mapInArrow(A.releasing(shared), "rid long, token long, df long")
     # the rarest values come first; those of one document alone take their places in the prefix, but have no partner
     listed = counted.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all")).where(F.size("all") >= need)
     listed = listed.join(reps.select("rid", "n"), "rid")
@@ -414,7 +420,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
             low = [r.tobytes() for r in rows_of(b.column(2), np.uint32).astype(np.uint8)] if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low, pa.binary()), b.column(3)], names=["rid", "n", "low", "odd"])
 
-    lows = stored(reps.select("rid", "n", "sig", "odd").mapInArrow(shorten, "rid long, n long, low binary, odd binary"), "short")
+    lows = stored(reps.select("rid", "n", "sig", "odd").mapInArrow(A.releasing(shorten), "rid long, n long, low binary, odd binary"), "short")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose signatures agree often enough and whose bitmaps are near enough."""
@@ -428,7 +434,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
                     yield b.select([0, 1]).filter(pa.array((same >= need) & near))
 
         side = lambda x: lows.select(F.col("rid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "low", "odd")))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "low_a", "odd_a", "n_b", "low_b", "odd_b").mapInArrow(count, "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "low_a", "odd_a", "n_b", "low_b", "odd_b").mapInArrow(A.releasing(count), "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those whose full shingle sets are alike enough. The cells of a hot `a` are as many as there are tasks."""
@@ -440,9 +446,8 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
         def full(batches):
             for b in batches:
                 b = b.filter(pa.array(near_enough(b.column(0))))
-                texts = texts_of(b.column(1))
-                for i, j in A.chunks(np.fromiter(map(len, texts), np.int64, len(texts))):
-                    h, n = shingle_runs(texts[i:j], shingle_words)
+                for _, _, texts in text_chunks(b.column(1)):
+                    h, n = shingle_runs(texts, shingle_words)
                     f1, f2 = fingerprints(h, n)
                     parts = -(-n // PART)
                     of = np.repeat(np.arange(len(n)), parts)
@@ -452,10 +457,10 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
                     raw = [h[s : s + m].tobytes() for s, m in zip(begin.tolist(), size.tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(n[of], pa.int64()), pa.array(f1[of]), pa.array(f2[of]), pa.array(nth, pa.int32()), pa.array(raw, pa.binary())], names=["n", "f1", "f2", "part", "shingles"])
 
-        sets = docs.select("doc_id", "text").mapInArrow(full, "n long, f1 long, f2 long, part int, shingles binary")
+        sets = docs.select("doc_id", "text").mapInArrow(A.releasing(full), "n long, f1 long, f2 long, part int, shingles binary")
         named = sets.join(wanted.select("rid", "n", "f1", "f2"), ["n", "f1", "f2"]).select("rid", "n", "part", "shingles")
         rows = needs.join(named, "rid").select("a", "salt", "role", "rid", "n", "part", "shingles")
-        return rows.repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", "role", "rid", "part").mapInArrow(compare(percent), "a long, b long")
+        return rows.repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", "role", "rid", "part").mapInArrow(A.releasing(compare(percent)), "a long, b long")
 
     hubs = posts.groupBy("token").agg(F.min(F.struct("rid", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("token", F.col("hub.rid").alias("a"), F.col("hub.n").alias("na"))
     met = posts.join(hubs, "token").where((F.col("rid") > F.col("a")) & (10000 * F.least("n", "na") >= percent * F.greatest("n", "na"))).groupBy("a", F.col("rid").alias("b")).agg(F.count("*").alias("c"))
@@ -475,8 +480,8 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, similarity: float = 0
         buckets = max(n_parts, -(-members // BUCKET_MEMBERS))
         open_ = labelled.join(mixed.select("token", "blocks"), "token").groupBy("rid").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.collect_list(F.struct("token", "blocks")).alias("t"))
         open_ = open_.join(lows.drop("n"), "rid").select("rid", "component", "n", "low", "odd", "t.token", "t.blocks")
-        dealt = open_.mapInArrow(deal(A.aligned_keys(buckets)), "bucket int, payload binary").repartition(buckets, "bucket")
-        return stored(dealt.mapInArrow(meet(coordinates, similarity, need, percent, forest), "a long, b long").distinct(), "crossing")
+        dealt = open_.mapInArrow(A.releasing(deal(A.aligned_keys(buckets))), "bucket int, payload binary").repartition(buckets, "bucket")
+        return stored(dealt.mapInArrow(A.releasing(meet(coordinates, similarity, need, percent, forest)), "a long, b long").distinct(), "crossing")
 
     trees = crossing(found, True)
     links = links.union(stored(confirmed(trees.join(star, ["a", "b"], "left_anti")), "confirmed"))

@@ -480,7 +480,7 @@ def find_repeats(df: DataFrame, plan: Plan, finish: Callable, schema: str, split
         return pa.concat_tables(done) if done else finish(docs, None, None)
 
     sent1 = text.groupBy("blk").applyInArrow(first, SENT)
-    marks = sent1.repartition(n, "bucket").mapInArrow(reduce_marks(plan, keys, edges), ANSWER)
+    marks = sent1.repartition(n, "bucket").mapInArrow(A.releasing(reduce_marks(plan, keys, edges)), ANSWER)
     sent2 = text.groupBy("blk").cogroup(marks.groupBy("blk")).applyInArrow(second, SENT)
-    hits = sent2.repartition(n, "bucket").mapInArrow(reduce_windows(plan), ANSWER)
+    hits = sent2.repartition(n, "bucket").mapInArrow(A.releasing(reduce_windows(plan)), ANSWER)
     return text.groupBy("blk").cogroup(hits.groupBy("blk")).applyInArrow(third, schema)

@@ -28,6 +28,8 @@ PER_CLASS, CLEAN_RATIO = 3000, 2
 #: And bytes of their texts; a row that does not fit any more is no training row.
 SAMPLE_BYTES = 64 << 20
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.05
+#: Texts that are scored at once.
+ROWS_AT_ONCE = 1000
 #: Passes over the sample: as many as make so many updates, or the least. Small samples need more to be sure of what they show.
 UPDATES, LEAST_EPOCHS = 120_000, 6
 #: A feature is learned if so many training texts have it.
@@ -203,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keys, w, bias = fit([texts[i] for i in order], y[order])
             yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, np.uint64(0)).view(np.int64)), pa.array(np.append(w, bias)), pa.array([False] * len(w) + [True])], names=["key", "weight", "bias"])
 
-    found = rows.repartition(1).sortWithinPartitions("h", "label", F.length("text"), "text").mapInArrow(run, "key long, weight double, bias boolean").collect()
+    found = rows.repartition(1).sortWithinPartitions("h", "label", F.length("text"), "text").mapInArrow(A.releasing(run), "key long, weight double, bias boolean").collect()
     if not found:
         return None
     keys = np.array([r.key for r in found if not r.bias], np.int64).view(np.uint64)
@@ -220,8 +222,10 @@ def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     def run(batches):
         for b in batches:
-            texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            scores = shared.value.score(texts) if shared.value else np.zeros(len(texts))
+            scores = np.zeros(b.num_rows)
+            for i in range(0, b.num_rows if shared.value else 0, ROWS_AT_ONCE):
+                texts = [x or b"" for x in b.column(1).slice(i, ROWS_AT_ONCE).cast(pa.binary()).to_pylist()]
+                scores[i : i + ROWS_AT_ONCE] = shared.value.score(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), *(b.column(c) for c in names)], names=["doc_id", "score", *names])
 
-    return public(rows.mapInArrow(run, "doc_id long, score double" + kinds), carry, names)
+    return public(rows.mapInArrow(A.releasing(run), "doc_id long, score double" + kinds), carry, names)

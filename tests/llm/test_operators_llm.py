@@ -653,3 +653,17 @@ def test_the_anchors_of_a_block_take_44_bytes_each():
     tracemalloc.stop()
     n = len(found.cover)
     assert n > 100_000 and held < 50 * n
+
+
+def test_tasks_give_their_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from gridloom.llm import arrays as A, minhash_dedup as M
+
+    seen = []
+    monkeypatch.setattr(A, "release", lambda: seen.append("released"))
+    assert list(A.releasing(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and seen == ["released"]
+    texts = ["ab" * 100_000, None, "", "c", "d" * 200_000, "e" * 200_000]
+    runs = list(M.text_chunks(pa.array(texts)))
+    assert [t for _, _, x in runs for t in x] == [(t or "").encode() for t in texts] and max(sum(map(len, x)) for _, _, x in runs) <= A.CHUNK
+    assert [(i, j) for i, j, _ in runs] == [(0, 4), (4, 5), (5, 6)]
