@@ -531,13 +531,17 @@ def calibration_choice_all(spark, d):
 
 
 def featured(spark, d):
-    """The valid cells with the classifier's six features, as stage C reads them from stage B: open water stands for waterbodies."""
-    c = routed(B.cells(spark, d), "zt")
-    c = focal.slope(c, "zt").join(flow.flow_accumulation(c), "cell_id", "left").withColumn("twi", S.wetness(S.specific_catchment(F.col("acc")), F.col("slope")))
-    c = stored(flow.height_above_drainage(c, "zp"), "drained")
+    """The valid cells with the classifier's six features, as stage C reads them from stage B: open water stands for waterbodies.
+    Each is worked out on the few columns that it needs, once, and they meet by cell."""
+    c = routed(B.cells(spark, d).select("cell_id", "row", "col", "zp", "zt", "valid", "stream", "zone"), "zt")
+    out = c.where("valid").select("cell_id", "zone", (F.col("zp") > 20).cast("int").alias("y"))
+    parts = [focal.slope(c.select("cell_id", "row", "col", "zt", "valid"), "zt").select("cell_id", "slope"), flow.flow_accumulation(c), flow.height_above_drainage(c.select("cell_id", "down_id", "valid", "stream", "zp"), "zp").select("cell_id", "hand")]
     for name, mask in (("flowline", F.col("stream")), ("waterbody", F.col("zone") == 0)):
-        c = focal.euclidean_distance(c.withColumn("_m", mask), "_m").withColumn(f"dist_{name}", F.coalesce("distance", F.lit(-1.0))).drop("distance", "_m")
-    return stored(c.where("valid").withColumn("y", (F.col("zp") > 20).cast("int")), "features")
+        far = focal.euclidean_distance(c.select("cell_id", "row", "col", mask.alias("_m")), "_m")
+        parts.append(far.select("cell_id", F.coalesce("distance", F.lit(-1.0)).alias(f"dist_{name}")))
+    for part in parts:
+        out = out.join(part, "cell_id", "left")
+    return stored(out.withColumn("twi", S.wetness(S.specific_catchment(F.col("acc")), F.col("slope"))), "features")
 
 
 @query()

@@ -307,3 +307,46 @@ def test_distances_in_tall_grids_read_no_column_over_and_over(spark, monkeypatch
     assert "unboundedfollowing" not in far._jdf.queryExecution().toString().lower()
     got = far.selectExpr("sum(distance) as s", "count(distance) as n").first()
     assert got.n == 120_000 and got.s == pytest.approx(sum(((i // 2 - 3) ** 2 + (i % 2 - 1) ** 2) ** 0.5 for i in range(120_000)), rel=1e-9)
+
+
+@pytest.mark.parametrize("bits", (0, 3, 18))
+def test_flow_crosses_blocks_of_ids(spark, bits, monkeypatch):
+    """Paths that leave blocks and come back, against a walk cell by cell; all cells are in a table a fixed number of times, however long the paths."""
+    import random
+
+    r = random.Random(bits)
+    order = r.sample(range(-20, 60), 60)
+    down = {c: r.choice([None, 999, *order[i + 1 : i + 4]]) for i, c in enumerate(order)}
+    down |= {100 + i: 101 + i for i in range(40)} | {140: None}
+    stream = {c: r.random() < 0.1 for c in down}
+    acc, drain = dict.fromkeys(down, 0), {}
+    for c in down:
+        at, met = c, []
+        while at in down:
+            met.append(at)
+            at = down[at]
+        drain[c] = next((m for m in met if stream[m]), None)
+        for m in met[1:]:
+            acc[m] += 1
+    cells = spark.createDataFrame([(c, down[c], True, stream[c]) for c in down] + [(500, 100, False, True)], "cell_id long, down_id long, valid boolean, stream boolean")
+    sizes = []
+    monkeypatch.setattr(flow, "stored", lambda df, name, f=flow.stored: sizes.append((t := f(df, name)).count()) or t)
+    assert {x.cell_id: x.acc for x in flow.flow_accumulation(cells, bits=bits).collect()} == acc
+    assert {x.cell_id: x.drain_id for x in flow.drainage(cells, bits=bits).collect()} == drain
+    assert bits == 0 or sum(n == len(down) for n in sizes) <= 3
+    circle = spark.createDataFrame([(0, 9, True, False), (9, 17, True, False), (17, 0, True, False), (3, 0, True, False)], cells.schema)
+    for f in (flow.flow_accumulation, flow.drainage):
+        with pytest.raises(GateError):
+            f(circle, bits=bits)
+
+
+def test_the_median_is_exact_whatever_the_ties(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(focal, "VALUES_AT_ONCE", 20)
+    r = random.Random(2)
+    for v in ([r.random() for _ in range(3000)], [float(r.randrange(40)) for _ in range(2001)], [5.0] * 50 + [7.0] * 50, [None, 4.0, None, 1.0], [None]):
+        some = [x for x in v if x is not None]
+        assert focal.median(spark.createDataFrame([(x,) for x in v], "v double"), "v") == (np.median(some) if some else None)
